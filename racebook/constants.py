@@ -66,3 +66,45 @@ VENUES = [
     "桐生", "戸田", "江戸川", "平和島", "多摩川", "浜名湖", "蒲郡", "常滑", "津", "三国", "びわこ", "住之江",
     "尼崎", "鳴門", "丸亀", "児島", "宮島", "徳山", "下関", "若松", "芦屋", "福岡", "唐津", "大村",
 ]
+
+# --- fixed values: reason labels in the order they are listed -----------------------------
+REASON = {
+    "meet_good": "今節好調",
+    "meet_bad": "今節低調",
+    "meet_st": "今節ST良好",
+    "course_good": "コース適性高",
+    "course_bad": "コース適性低",
+    "course_st": "コースST良好",
+    "class_a1": "級別A1",
+    "class_b2": "級別B2(下位)",
+    "venue_good": "当水面はイン系有利",
+    "venue_bad": "当水面は当該コース不利",
+    "rough_bonus": "荒水面でまくり決着多め",
+    "flying": "展示F",
+    "time_good": "展示タイム上位",
+    "time_bad": "展示タイム下位",
+    "straight": "直線・伸び足展示上位",
+    "turn": "まわり足展示上位",
+    "lap": "1周展示上位",
+    "rough_outer": "荒水面でアウト不利",
+}
+
+# --- fixed values: favourite risk labels ---------------------------------------------------
+RISK = {
+    "flying": "本命艇が展示F",
+    "original_straight": "本命艇の展示直線・伸び足が平均以下",
+    "original_turn": "本命艇の展示まわり足が平均以下",
+    "exhibition_time": "本命艇の展示タイムが平均以下",
+    "motor_2ren": "本命艇のモーターが平均以下",
+    "boat_2ren": "本命艇のボートが平均以下",
+    "current_meet_top2_rate": "本命艇の今節成績が不振",
+}
+
+# --- fixed values: completeness labels -----------------------------------------------------
+COMPLETENESS = {
+    "racer_win_rate": "全国勝率",
+    "local_win_rate": "当地勝率",
+    "motor_2ren": "モーター2連率",
+    "boat_2ren": "ボート2連率",
+    "avg_st": "平均ST",
+}

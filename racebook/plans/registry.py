@@ -28,13 +28,17 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c: Column | str) -> Column:
-    """Six places with the same arithmetic as ``R6`` in the check SQL."""
+    """Six places with the same arithmetic as ``R6`` in the check SQL.
+
+    The offset is a little over a half: values that are exactly halfway but for their last bit
+    then round the same way on both sides.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 1e6 + 0.5) / 1e6
+    return F.floor(c * 1e6 + 0.50001) / 1e6
 
 
 def R6(expr: str) -> str:
-    return f"floor(({expr}) * 1e6 + 5e-1) / 1e6"
+    return f"floor(({expr}) * 1e6 + 50001e-5) / 1e6"
 
 
 def rounded(df: DataFrame, *cols: str) -> DataFrame:
