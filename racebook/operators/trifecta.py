@@ -14,18 +14,11 @@ LANES = range(1, 7)
 
 def triples() -> Column:
     """The 120 ordered triples of six lanes as one literal array."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("a"),
-                F.lit(b).alias("b"),
-                F.lit(c).alias("c"),
-                F.lit(f"{a}-{b}-{c}").alias("combo"),
-                F.lit(K.SECOND_PRIOR[a][b]).alias("second_prior"),
-            )
-            for a, b, c in permutations(LANES, 3)
-        ]
+    rows = ", ".join(
+        f"named_struct('a', {a}, 'b', {b}, 'c', {c}, 'combo', '{a}-{b}-{c}', 'second_prior', {K.SECOND_PRIOR[a][b]}D)"
+        for a, b, c in permutations(LANES, 3)
     )
+    return F.expr(f"array({rows})")
 
 
 def total(terms) -> Column:
@@ -33,6 +26,16 @@ def total(terms) -> Column:
     return sum(terms[1:], terms[0])
 
 
+def spread(races: DataFrame) -> DataFrame:
+    """Races over the configured number of partitions, before each becomes up to 120 rows.
+
+    The rows that are shuffled here are few and small, so adaptive execution would merge them
+    into few tasks, each of which would then have to hold 120 times its input.
+    """
+    n = int(races.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return races.repartition(n, "race_key")
+
+
 def race_fields(first: DataFrame) -> DataFrame:
     """One row per race with at least three runners: ``p1``..``p6``, missing lanes NULL."""
     p = F.col("p_first")
@@ -46,9 +49,9 @@ def race_fields(first: DataFrame) -> DataFrame:
 
 def ordered_triples(first: DataFrame) -> DataFrame:
     """Every ordered choice of three runners of a race."""
-    f = race_fields(first).select("race_key", *[F.col(f"p{i}").isNotNull().alias(f"r{i}") for i in LANES], F.explode(triples()).alias("t"))
-    here = F.array(*[F.col(f"r{i}") for i in LANES])
-    present = F.element_at(here, F.col("t.a")) & F.element_at(here, F.col("t.b")) & F.element_at(here, F.col("t.c"))
+    here = F.array(*[F.col(f"p{i}").isNotNull() for i in LANES])
+    f = spread(race_fields(first).select("race_key", here.alias("here"))).withColumn("t", F.explode(triples()))
+    present = F.element_at("here", F.col("t.a")) & F.element_at("here", F.col("t.b")) & F.element_at("here", F.col("t.c"))
     return f.filter(present).select("race_key", "t.a", "t.b", "t.c", "t.combo")
 
 
@@ -68,34 +71,33 @@ def trifecta(
     neither a join nor a window, and only the shuffle by race remains.
     """
     w2, w3 = float(course_weight), float(course_weight_3rd)
-    pos = lambda i: F.coalesce(f"p{i}", F.lit(0.0))
-    on = lambda i: F.col(f"p{i}").isNotNull()
-    fields = race_fields(first)
-    second = lambda a: (1 - w2) + w2 * total(F.when(on(b), K.SECOND_PRIOR[a][b]).otherwise(0.0) for b in LANES if b != a)
-    third = (1 - w3) + w3 * total(
-        F.when(F.col("runners") - 2 >= r, v).otherwise(0.0) for r, v in K.THIRD_PRIOR.items()
-    )
-    fields = fields.select(
+    plus = " + ".join
+
+    def second_total(a: int) -> str:
+        used = plus(f"if(p{b} IS NULL, 0D, {K.SECOND_PRIOR[a][b]}D)" for b in LANES if b != a)
+        return f"({1 - w2}D + {w2}D * ({used}))"
+
+    third_total = plus(f"if(runners >= {r + 2}, {v}D, 0D)" for r, v in K.THIRD_PRIOR.items())
+    below = ", ".join(plus(["0"] + [f"int(p{j} IS NOT NULL)" for j in LANES if j < i]) for i in LANES)
+    races = race_fields(first).selectExpr(
         "race_key",
-        F.array(*[F.col(f"p{i}") for i in LANES]).alias("p"),
-        *[F.when(on(i), F.pow(f"p{i}", F.lit(gamma_b))).otherwise(0.0).alias(f"b{i}") for i in LANES],
-        *[F.when(on(i), F.pow(f"p{i}", F.lit(gamma_c))).otherwise(0.0).alias(f"c{i}") for i in LANES],
-        F.array(*[total([F.lit(0)] + [on(j).cast("int") for j in LANES if j < i]) for i in LANES]).alias("below"),
-        (total(pos(a) * second(a) for a in LANES) * third).alias("norm"),
-        F.explode(triples()).alias("t"),
+        "array(" + ", ".join(f"p{i}" for i in LANES) + ") AS p",
+        "array(" + ", ".join(f"coalesce(pow(p{i}, {gamma_b}D), 0D)" for i in LANES) + ") AS pb",
+        "array(" + ", ".join(f"coalesce(pow(p{i}, {gamma_c}D), 0D)" for i in LANES) + ") AS pc",
+        f"array({below}) AS below",
+        f"({plus(f'coalesce(p{a}, 0D) * {second_total(a)}' for a in LANES)}) * ({1 - w3}D + {w3}D * ({third_total})) AS norm",
+    )
+    rows = spread(races).withColumn("t", F.explode(triples())).selectExpr("*", "t.*")
+    rows = rows.filter("p[a - 1] IS NOT NULL AND p[b - 1] IS NOT NULL AND p[c - 1] IS NOT NULL")
+    others_b = plus(f"if(a = {i}, 0D, pb[{i - 1}])" for i in LANES)
+    others_c = plus(f"if(a = {i} OR b = {i}, 0D, pc[{i - 1}])" for i in LANES)
+    place = "below[c - 1] - int(a < c) - int(b < c)"
+    third_prior = "array(" + ", ".join(f"{v}D" for v in K.THIRD_PRIOR.values()) + ")"
+    second = f"({1 - w2}D * try_divide(pb[b - 1], {others_b}) + {w2}D * second_prior)"
+    third = f"({1 - w3}D * try_divide(pc[c - 1], {others_c}) + {w3}D * {third_prior}[{place}])"
+    return rows.selectExpr(
+        "race_key", "a", "b", "c", "combo", f"coalesce(try_divide(p[a - 1] * {second} * {third}, norm), 0D) AS prob"
     )
-    a, b, c = F.col("t.a"), F.col("t.b"), F.col("t.c")
-    pick = lambda prefix, i: F.element_at(F.array(*[F.col(f"{prefix}{j}") for j in LANES]), i)
-    p = lambda i: F.element_at("p", i)
-    others_b = total(F.when(a == i, 0.0).otherwise(F.col(f"b{i}")) for i in LANES)
-    others_c = total(F.when((a == i) | (b == i), 0.0).otherwise(F.col(f"c{i}")) for i in LANES)
-    second_prob = (1 - w2) * F.try_divide(pick("b", b), others_b) + w2 * F.col("t.second_prior")
-    rank = F.element_at("below", c) - (a < c).cast("int") - (b < c).cast("int") + 1
-    third_prior = F.element_at(F.array(*[F.lit(v) for v in K.THIRD_PRIOR.values()]), rank)
-    third_prob = (1 - w3) * F.try_divide(pick("c", c), others_c) + w3 * third_prior
-    out = fields.filter(p(a).isNotNull() & p(b).isNotNull() & p(c).isNotNull())
-    prob = F.try_divide(p(a) * second_prob * third_prob, F.col("norm"))
-    return out.select("race_key", a.alias("a"), b.alias("b"), c.alias("c"), F.col("t.combo").alias("combo"), F.coalesce(prob, F.lit(0.0)).alias("prob"))
 
 
 def podiums(history: DataFrame) -> DataFrame:
