@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from racebook.plans import odds, race, tickets  # noqa: F401
+from racebook.plans import odds, race, tickets, verify  # noqa: F401
 from racebook.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

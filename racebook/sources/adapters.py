@@ -122,19 +122,20 @@ SELECT user_id AS race_key, event_type AS combo, value AS odds, ts AS fetched_at
 FROM {events}"""
 
 ADAPTERS["odds_races"] = """
-SELECT user_id AS race_key, min(ts) AS first_ts, max(ts) AS last_ts, min(event_type) AS actual_combo
+SELECT user_id AS race_key, min(ts) AS first_ts, max(ts) AS last_ts, min(event_type) AS actual_combo,
+  max_by(event_type, ts) AS last_type
 FROM {events} GROUP BY user_id"""
 
-# Proposed tickets of the tracked races; one in five combinations was never proposed.
+# Proposed tickets of the tracked races; rarely quoted combinations were not proposed.
 ADAPTERS["odds_tickets"] = """
 SELECT race_key, combo, CAST(100 * ((race_key + length(combo)) % 4) AS INT) AS stake,
   CASE WHEN length(combo) % 3 = 0 THEN '穴' ELSE '本線' END AS ticket_group,
   ((race_key * 7 + length(combo) * 13) % 100) / 4e2 AS ai_prob
-FROM (SELECT user_id AS race_key, event_type AS combo FROM {events} GROUP BY user_id, event_type) x
-WHERE (race_key + length(combo)) % 5 <> 0"""
+FROM (SELECT user_id AS race_key, event_type AS combo FROM {events} GROUP BY user_id, event_type
+      HAVING count(*) >= 10) x"""
 
 ADAPTERS["odds_results"] = """
-SELECT race_key, actual_combo FROM {odds_races} WHERE race_key % 3 <> 0"""
+SELECT race_key, actual_combo FROM {odds_races} WHERE last_type <> 'error'"""
 
 ADAPTERS["odds_locks"] = """
 SELECT race_key, first_ts + INTERVAL 5 DAY AS saved_at,
@@ -144,7 +145,7 @@ FROM {odds_races}"""
 
 ADAPTERS["watchlist"] = """
 SELECT race_key, first_ts AS created_at, last_ts - INTERVAL 2 DAY AS deadline,
-  race_key % 5 <> 0 AS active
+  last_type <> 'signup' AS active
 FROM {odds_races}"""
 
 ADAPTERS["starts"] = """
