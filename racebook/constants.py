@@ -108,3 +108,75 @@ COMPLETENESS = {
     "boat_2ren": "ボート2連率",
     "avg_st": "平均ST",
 }
+
+# --- fixed values: comment axes and their weights ----------------------------------------
+AXIS_WEIGHTS = {"伸び": 0.27, "出足": 0.27, "回り足": 0.26, "乗り心地": 0.08, "総合気配": 0.12}
+GENERAL_AXIS = "総合気配"
+
+# --- fixed values: comment phrases with their scores per axis ------------------------------
+PHRASES = {
+    "伸び": [
+        ("伸びはかなりいい", 1.55), ("伸びがかなりいい", 1.55), ("伸びはいい", 1.05), ("伸びがいい", 1.05),
+        ("伸びは良い", 1.05), ("伸びが良い", 1.05), ("伸びる", 0.85), ("直線はいい", 0.95), ("直線がいい", 0.95),
+        ("直線は良い", 0.95), ("直線が良い", 0.95), ("伸び寄り", 0.70), ("行き足がいい", 0.80), ("行き足はいい", 0.80),
+        ("スリット付近はいい", 0.80), ("下がらない", 0.45), ("伸びがかなり弱い", -1.55), ("伸びはかなり弱い", -1.55),
+        ("伸びが弱い", -1.05), ("伸びは弱い", -1.05), ("伸びがない", -1.15), ("直線が弱い", -1.00),
+        ("直線は弱い", -1.00), ("伸びられる", -0.85), ("下がる", -0.85), ("スリットから劣勢", -1.00),
+    ],
+    "出足": [
+        ("出足はかなりいい", 1.55), ("出足がかなりいい", 1.55), ("出足はいい", 1.05), ("出足がいい", 1.05),
+        ("出足は良い", 1.05), ("出足が良い", 1.05), ("押しがいい", 0.90), ("押している", 0.75),
+        ("立ち上がりがいい", 0.85), ("レース足がいい", 0.75), ("出足がかなり弱い", -1.55), ("出足はかなり弱い", -1.55),
+        ("出足が弱い", -1.05), ("出足は弱い", -1.05), ("出足がない", -1.15), ("押していない", -0.90), ("押しが弱い", -0.90),
+    ],
+    "回り足": [
+        ("回り足はかなりいい", 1.55), ("回り足がかなりいい", 1.55), ("回り足はいい", 1.05), ("回り足がいい", 1.05),
+        ("ターン回りはいい", 1.00), ("ターン回りがいい", 1.00), ("旋回はいい", 0.85), ("回った後がいい", 0.95),
+        ("回ってからがいい", 0.95), ("舟の向きがいい", 0.75), ("かかりがいい", 0.80), ("回り足がかなり弱い", -1.55),
+        ("回り足はかなり弱い", -1.55), ("回り足が弱い", -1.05), ("回り足は弱い", -1.05), ("ターン回りが弱い", -1.00),
+        ("ターン回りは弱い", -1.00), ("回れない", -1.05), ("流れる", -0.90), ("かからない", -0.90), ("舟が向かない", -0.90),
+    ],
+    "乗り心地": [
+        ("乗りやすい", 1.00), ("乗り心地はいい", 1.00), ("乗り心地がいい", 1.00), ("乗り心地は良い", 1.00),
+        ("操縦性はいい", 0.90), ("ターンしやすい", 0.85), ("乗りにくい", -1.00), ("乗りづらい", -1.00),
+        ("乗り心地が悪い", -1.10), ("操縦性が悪い", -1.00), ("ターンしづらい", -0.90),
+    ],
+    "総合気配": [
+        ("足はかなりいい", 1.45), ("全体的にかなりいい", 1.45), ("足はいい", 0.90), ("足がいい", 0.90),
+        ("全体的にいい", 0.90), ("バランスがいい", 0.85), ("上向いた", 0.75), ("良くなった", 0.70), ("手応えがある", 0.75),
+        ("納得している", 0.70), ("十分", 0.45), ("悪くない", 0.30), ("普通以上", 0.35), ("まずまず", 0.20),
+        ("足はかなり弱い", -1.45), ("全体的にかなり弱い", -1.45), ("足は弱い", -0.95), ("全体的に弱い", -0.95),
+        ("良くない", -0.90), ("悪い", -0.85), ("厳しい", -0.95), ("もうひとつ", -0.55), ("合っていない", -0.80),
+        ("しっくりこない", -0.70), ("調整が必要", -0.50), ("調整途上", -0.55), ("まだ合っていない", -0.90), ("物足りない", -0.65),
+    ],
+}
+GOOD_WORDS = "いい|良い|上向|手応え|納得"
+BAD_WORDS = "悪い|弱い|厳しい|合っていない|物足りない"
+UNCERTAIN = [
+    "分からない", "わからない", "何とも言えない", "微妙", "調整中", "合わせ切れていない", "まだ調整", "ペラをやる",
+    "調整する", "迷っている",
+]
+VERB_FORMS = [
+    ("良かった", "いい"), ("よかった", "いい"), ("良くて", "いい"), ("よくて", "いい"), ("良く", "いい"),
+    ("いいですね", "いい"), ("悪かった", "悪い"), ("悪くて", "悪い"), ("やすかった", "やすい"), ("やすくて", "やすい"),
+    ("にくかった", "にくい"), ("にくくて", "にくい"), ("づらかった", "づらい"), ("づらくて", "づらい"),
+    ("弱かった", "弱い"), ("弱くて", "弱い"), ("強かった", "強い"), ("強くて", "強い"),
+]
+
+# --- fixed values: words of a natural comment ----------------------------------------------
+COMMENT_LETTERS = "[一-龥々ぁ-んァ-ヶー]"
+TABLE_WORDS = [
+    "登録番号", "級別", "勝率/2連率", "勝率", "2連率", "通算", "近況", "モーター一覧", "コメント&モーター", "コメント＆モーター",
+]
+NOISE_WORDS = ["通算", "近況", "パワー", "勝率", "2連率", "登録番号", "級別", "No.", "NO."]
+RACE_WORDS = [
+    "足", "伸び", "出足", "回り", "まわり", "乗り", "スタート", "ターン", "気配", "エンジン", "モーター", "調整", "ペラ",
+    "行き足", "直線", "押し", "舟足", "走り", "水準", "違和感", "手応え", "反応",
+]
+NATURAL_WORDS = [
+    "は", "が", "けど", "けれど", "と思う", "です", "ます", "ない", "いい", "良い", "悪い", "感じ", "欲しい", "している",
+    "なった", "ならない", "来なかった", "普通", "十分", "まずまず", "上向き",
+]
+SCORE_WORDS = [
+    "足", "伸び", "出足", "回り", "まわり足", "乗り", "スタート", "ターン", "行き足", "直線", "水準", "違和感", "良く", "悪く",
+]

@@ -50,17 +50,32 @@ def compact_name(name: Column) -> Column:
 
 
 def race_card(entries: DataFrame, meet: DataFrame, course: DataFrame, own: DataFrame, profile: DataFrame) -> DataFrame:
-    """Race card with current-meet, course, own-exhibition and venue columns, all optional."""
+    """Race card with current-meet, own-exhibition, course and venue columns, all optional.
+
+    A lane starts from the course of its number, so course rows join on the lane.
+    """
+    by_course = course.withColumnRenamed("course", "lane")
+    by_venue = profile.withColumnRenamed("course", "lane")
     return (
         entries.join(meet, ["race_key", "lane"], "left")
         .join(own, ["race_key", "lane"], "left")
-        .join(course, (entries.racer_id == course.racer_id) & (entries.lane == course.course), "left")
-        .drop(course.racer_id, course.course)
-        .join(profile, (entries.venue == profile.venue) & (entries.lane == profile.course), "left")
-        .drop(profile.venue, profile.course)
+        .join(by_course, ["racer_id", "lane"], "left")
+        .join(by_venue, ["venue", "lane"], "left")
     )
 
 
+def fill_defaults(dim: DataFrame, facts: DataFrame, key: str, defaults: dict) -> DataFrame:
+    """Every row of the dimension, with defaults where there is no fact."""
+    return dim.join(facts, key, "left").na.fill(defaults)
+
+
+def comments_by_name(racers: DataFrame, comments: DataFrame, order: str) -> DataFrame:
+    """Racers with the first comment entered under their name, white space aside."""
+    first = comments.groupBy(compact_name(F.col("name")).alias("_name")).agg(F.min_by("comment", order).alias("comment"))
+    keyed = racers.withColumn("_name", compact_name(F.col("racer_name")))
+    return keyed.join(first, "_name", "left").drop("_name")
+
+
 def race_card_outer(card: DataFrame, before: DataFrame) -> DataFrame:
     """Card and pre-race rows side by side; a blank card name is filled from the other side."""
     c, b = card.alias("c"), before.alias("b")

@@ -158,6 +158,52 @@ SELECT l_orderkey AS race_key, l_linenumber AS lane, l_partkey AS seq,
   CAST(l_linenumber AS STRING) AS course
 FROM {lineitem}"""
 
+ADAPTERS["course_stats"] = """
+SELECT CAST(l_partkey AS STRING) AS racer_id, l_linenumber AS course,
+  floor(sum(CAST(l_suppkey AS BIGINT)) * 1e1 / count(*)) / 1e1 AS course_top3_rate, count(*) AS course_starts
+FROM {lineitem} WHERE l_linenumber <= 6 GROUP BY l_partkey, l_linenumber"""
+
+ADAPTERS["venue_profile"] = """
+SELECT venue, lane AS course, floor(sum(CASE WHEN finish = 1 THEN 1 ELSE 0 END) * 1e4 / count(*) + 5e-1) / 1e2 AS venue_course_1st
+FROM {race_entries} GROUP BY venue, lane"""
+
+# Texts a landed page or an export would hold, spelled from the rows of an order.
+ADAPTERS["order_texts"] = """
+SELECT o_orderkey AS race_key, o_custkey AS racer_no, o_orderstatus AS status, o_orderpriority AS priority,
+  CASE o_orderkey % 3 WHEN 0 THEN concat(y, m, d) WHEN 1 THEN concat(y, '-', m, '-', d) ELSE concat(y, '/', m, '/', d) END AS day_text,
+  concat('￥', CAST(CAST(floor(o_totalprice / 1e3) AS INT) AS STRING), ',',
+    lpad(CAST(CAST(floor(o_totalprice) AS INT) % 1000 AS STRING), 3, '0'), '円') AS price_text,
+  concat(lpad(CAST(o_custkey % 24 AS STRING), 2, '0'), ':', lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')) AS clock_text,
+  concat(y, '-', m, '-', d, 'T', lpad(CAST(o_custkey % 24 AS STRING), 2, '0'), ':00:00',
+    CASE o_orderkey % 3 WHEN 0 THEN 'Z' WHEN 1 THEN '+09:00' ELSE '' END) AS iso_text,
+  concat(CASE o_orderkey % 4 WHEN 0 THEN '初日 ' WHEN 1 THEN '最終日 ' WHEN 2 THEN concat(CAST(o_custkey % 7 + 2 AS STRING), '日目 ') ELSE '' END,
+    CASE WHEN o_orderstatus = 'F' THEN '最終R発売終了' WHEN o_orderstatus = 'P' THEN '発売開始前'
+         WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(CAST(o_orderkey % 12 + 1 AS STRING), 'R 1', CAST(o_custkey % 10 AS STRING), ':25') END) AS sale_text,
+  translate(concat('ボート', o_orderpriority, ' ＃', CAST(o_custkey AS STRING)), '0123456789-', '０１２３４５６７８９－') AS wide_text
+FROM (SELECT *, CAST(year(o_orderdate) AS STRING) AS y, lpad(CAST(month(o_orderdate) AS STRING), 2, '0') AS m,
+        lpad(CAST(day(o_orderdate) AS STRING), 2, '0') AS d FROM {orders}) o"""
+
+ADAPTERS["number_texts"] = """
+SELECT l_orderkey AS race_key, l_linenumber AS lane, l_partkey AS part, CASE l_linenumber
+  WHEN 1 THEN CAST(l_quantity AS STRING) WHEN 2 THEN 'nan' WHEN 3 THEN 'inf' WHEN 4 THEN '1e400'
+  WHEN 5 THEN '' WHEN 6 THEN l_returnflag ELSE concat(' ', CAST(l_quantity AS STRING), ' ') END AS number_text
+FROM {lineitem}"""
+
+
+def _per_lane(value: str) -> str:
+    return ", ".join(f"coalesce(max(CASE WHEN lane = {i} THEN concat('{i} ', {value}, ' ') END), '')" for i in range(1, 7))
+
+
+ADAPTERS["race_pages"] = f"""
+SELECT race_key, max(race_no) AS race_no, concat('出走表 締切予定時刻 ',
+  {", ' ', ".join(f"CAST({8 + i} + race_key % 3 AS STRING), ':{i * 4 + 10}'" for i in range(12))},
+  ' スタート展示 ', {_per_lane("concat(CASE WHEN exhibition_st < 0 THEN 'F' ELSE '' END, '.', lpad(CAST(CAST(round(abs(exhibition_st) * 100) AS INT) AS STRING), 2, '0'))")},
+  '水面気象情報 気温 ', CAST(15 + race_key % 12 + 5e-1 AS STRING), '℃ 風速 ', CAST(max(wave_height) AS STRING), 'm 水温 ',
+  CAST(10 + race_key % 15 AS STRING), '℃ 波高 ', CAST(race_key % 6 AS STRING), 'cm ',
+  'コース別3連対率 ', {_per_lane("CASE WHEN course_start_rank IS NULL THEN '--' ELSE concat(CAST(course_top3_rate AS STRING), '%') END")},
+  'コース別スタート順 ', {_per_lane("coalesce(CAST(course_start_rank AS STRING), '-')")}) AS page
+FROM {{race_entries}} GROUP BY race_key"""
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
