@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from racebook import constants as K
+
 SALTS = 16
 
 
 def salted_join(
-    rows: DataFrame, keyed: DataFrame, key: str, how: str, salt_on: str, salts: int = SALTS
+    rows: DataFrame, keyed: DataFrame, key: str | list[str], how: str, salt_on: str, salts: int = SALTS
 ) -> DataFrame:
     """Join many ``rows`` to a table with at most one row per ``key``.
 
@@ -17,9 +19,10 @@ def salted_join(
     by a hash of ``salt_on`` and the keyed side is repeated once per salt; results are those of
     the plain join. When the keyed side is small Spark broadcasts it and nothing is shuffled.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     left = rows.withColumn("_salt", F.pmod(F.hash(salt_on), F.lit(salts)))
     right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -52,16 +55,16 @@ def compact_name(name: Column) -> Column:
 def race_card(entries: DataFrame, meet: DataFrame, course: DataFrame, own: DataFrame, profile: DataFrame) -> DataFrame:
     """Race card with current-meet, own-exhibition, course and venue columns, all optional.
 
-    A lane starts from the course of its number, so course rows join on the lane.
+    A lane starts from the course of its number, so course rows join on the lane. One racer may
+    be in very many races, hence the salted join; the venue profile holds at most six rows for
+    each of the known venues and can be broadcast.
     """
+    codes = [f"{i:02d}" for i in range(1, len(K.VENUES) + 1)]
     by_course = course.withColumnRenamed("course", "lane")
-    by_venue = profile.withColumnRenamed("course", "lane")
-    return (
-        entries.join(meet, ["race_key", "lane"], "left")
-        .join(own, ["race_key", "lane"], "left")
-        .join(by_course, ["racer_id", "lane"], "left")
-        .join(by_venue, ["venue", "lane"], "left")
-    )
+    by_venue = profile.withColumnRenamed("course", "lane").filter(F.col("venue").isin(codes) & F.col("lane").between(1, 6))
+    card = entries.join(meet, ["race_key", "lane"], "left").join(own, ["race_key", "lane"], "left")
+    card = salted_join(card, by_course, ["racer_id", "lane"], "left", "race_key")
+    return card.join(F.broadcast(by_venue), ["venue", "lane"], "left")
 
 
 def fill_defaults(dim: DataFrame, facts: DataFrame, key: str, defaults: dict) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from racebook import constants as K
@@ -109,10 +109,8 @@ def podiums(history: DataFrame) -> DataFrame:
 def second_place_prior(history: DataFrame) -> DataFrame:
     """Share of each second lane given the winner."""
     pairs = podiums(history).filter("f1 IS NOT NULL AND f2 IS NOT NULL").groupBy("f1", "f2").agg(F.count("*").alias("n"))
-    winners = pairs.groupBy("f1").agg(F.sum("n").alias("total"))
-    return pairs.join(F.broadcast(winners), "f1").select(
-        F.col("f1").alias("a"), F.col("f2").alias("b"), "n", (F.col("n") / F.col("total")).alias("p")
-    )
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("f1"))
+    return pairs.select(F.col("f1").alias("a"), F.col("f2").alias("b"), "n", share.alias("p"))
 
 
 def third_place_prior(history: DataFrame) -> DataFrame:
@@ -120,5 +118,6 @@ def third_place_prior(history: DataFrame) -> DataFrame:
     p = podiums(history).filter("f3 IS NOT NULL")
     left = F.array_except("lanes", F.array("f1", "f2"))
     counts = p.groupBy(F.array_position(left, F.col("f3")).alias("place")).agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(whole), how="inner").select("place", "n", (F.col("n") / F.col("total")).alias("p"))
+    # at most four places are left to share
+    share = F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return counts.select("place", "n", share.alias("p"))

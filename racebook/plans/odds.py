@@ -174,7 +174,8 @@ def rollup_unfinished_anti(t):
     "SELECT race_key FROM {odds_samples} INTERSECT SELECT race_key FROM {odds_results}",
 )
 def races_intersect(t):
-    return t.odds_samples.select("race_key").intersect(t.odds_results.select("race_key"))
+    # distinct first: the set operation alone would shuffle every sample of a race
+    return odds.tracked_races(t.odds_samples).intersect(t.odds_results.select("race_key"))
 
 
 @query(

@@ -332,7 +332,7 @@ def scalar_math(t):
 
 @query(
     "scalar_arrays_maps",
-    f"""SELECT race_key, list(lane ORDER BY lane)[1:3] AS first_lanes, count(DISTINCT lane) AS n_lanes, arg_min(lane, (-p_first, lane)) AS best_lane,
+    f"""SELECT race_key, array_to_string(list(lane ORDER BY lane)[1:3], '-') AS first_lanes, count(DISTINCT lane) AS n_lanes, arg_min(lane, (-p_first, lane)) AS best_lane,
   {R6('coalesce(max(CASE WHEN lane = 6 THEN p_first END), 0)')} AS p6, count(*) FILTER (WHERE lane IN (1, 2, 3)) AS kept,
   list_position(list(lane ORDER BY lane), 4) AS position_of_4 FROM {{win_probs}} GROUP BY race_key""",
 )
@@ -344,7 +344,7 @@ def scalar_arrays_maps(t):
     best = F.array_max(F.transform(F.map_entries("m"), lambda e: F.struct(e["value"], -e["key"], e["key"].alias("lane"))))
     return d.select(
         "race_key",
-        F.slice(lanes, 1, 3).alias("first_lanes"),
+        F.array_join(F.slice(lanes, 1, 3), "-").alias("first_lanes"),
         F.size(F.array_distinct(lanes)).alias("n_lanes"),
         best.getField("lane").alias("best_lane"),
         r6(F.coalesce(F.try_element_at("m", F.lit(6)), F.lit(0.0))).alias("p6"),
