@@ -53,11 +53,12 @@ def gated(col: str, minimum: int) -> Column:
 def average_rank(value: Column, partition) -> tuple[Column, Column]:
     """(average rank over non-null values, their count) for wide groups.
 
-    ``rank`` and the peer count share one ordering, hence one sort per value.
+    Ties hold the places from ``rank`` up to the number of values not above them; both follow
+    from one ordering, hence one sort per value.
     """
     ordered = partition.orderBy(value.asc_nulls_last())
-    peers = F.count(F.lit(1)).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.rank().over(ordered) + (peers - 1) / 2, F.count(value).over(partition)
+    up_to = F.count(value).over(ordered)
+    return (F.rank().over(ordered) + up_to) / 2, F.count(value).over(partition)
 
 
 def percent_rank_average(value: Column, partition) -> Column:

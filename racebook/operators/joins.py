@@ -56,14 +56,15 @@ def race_card(entries: DataFrame, meet: DataFrame, course: DataFrame, own: DataF
     """Race card with current-meet, own-exhibition, course and venue columns, all optional.
 
     A lane starts from the course of its number, so course rows join on the lane. One racer may
-    be in very many races, hence the salted join; the venue profile holds at most six rows for
-    each of the known venues and can be broadcast.
+    be in very many races: nothing after that join needs its partitioning, so adaptive execution
+    is free to split such a racer. The venue profile holds at most six rows for each of the known
+    venues and can be broadcast.
     """
     codes = [f"{i:02d}" for i in range(1, len(K.VENUES) + 1)]
     by_course = course.withColumnRenamed("course", "lane")
     by_venue = profile.withColumnRenamed("course", "lane").filter(F.col("venue").isin(codes) & F.col("lane").between(1, 6))
     card = entries.join(meet, ["race_key", "lane"], "left").join(own, ["race_key", "lane"], "left")
-    card = salted_join(card, by_course, ["racer_id", "lane"], "left", "race_key")
+    card = card.join(by_course, ["racer_id", "lane"], "left")
     return card.join(F.broadcast(by_venue), ["venue", "lane"], "left")
 
 

@@ -14,6 +14,16 @@ from racebook.operators.joins import first_per_key, salted_join
 KEY = ["race_key", "combo"]
 
 
+def sample_order(tie: str | None) -> Column:
+    """Order of samples: their time, then ``tie`` where a table may repeat a time.
+
+    Where (race, combination, time) is a key, as an ingest of one cross-section per time makes
+    it, ``tie=None`` keeps the aggregate buffers at a fixed width and Spark aggregates by hash;
+    the two-part order needs a sorted aggregate, about four times the work per sample.
+    """
+    return F.col("fetched_at") if tie is None else F.struct("fetched_at", tie)
+
+
 def valid_odds(samples: DataFrame) -> DataFrame:
     """Samples with a combination and a finite price of at least 1."""
     odds = F.col("odds")
@@ -22,12 +32,9 @@ def valid_odds(samples: DataFrame) -> DataFrame:
     )
 
 
-def summarise_series(samples: DataFrame) -> DataFrame:
-    """First, last, extreme values and times per (race, combination).
-
-    Samples with equal time keep their order of arrival.
-    """
-    order = F.struct("fetched_at", "arrival")
+def summarise_series(samples: DataFrame, tie: str | None = "arrival") -> DataFrame:
+    """First, last, extreme values and times per (race, combination)."""
+    order = sample_order(tie)
     return samples.groupBy(*KEY).agg(
         F.min_by("odds", order).alias("odds_at_lock"),
         F.max_by("odds", order).alias("odds_final"),
@@ -61,11 +68,11 @@ def target_combos(tickets: DataFrame, results: DataFrame) -> DataFrame:
     return first_per_key(proposed.unionByName(actual), KEY, ["source"]).drop("source")
 
 
-def rollup(samples: DataFrame, tickets: DataFrame, results: DataFrame) -> DataFrame:
+def rollup(samples: DataFrame, tickets: DataFrame, results: DataFrame, tie: str | None = "arrival") -> DataFrame:
     """Odds summary of the target combinations of finished races."""
     finished = results.select("race_key", "actual_combo")
     targets = target_combos(tickets, results).join(finished, "race_key")
-    series = summarise_series(valid_odds(samples))
+    series = summarise_series(valid_odds(samples), tie)
     return series.join(targets, KEY).select(
         *KEY,
         "was_purchased",
@@ -86,9 +93,9 @@ def rollup(samples: DataFrame, tickets: DataFrame, results: DataFrame) -> DataFr
     )
 
 
-def asof_lock(samples: DataFrame, locks: DataFrame) -> DataFrame:
+def asof_lock(samples: DataFrame, locks: DataFrame, tie: str | None = "arrival") -> DataFrame:
     """Last odds at or before the time the prediction was frozen, beside the first sample."""
-    order = F.struct("fetched_at", "arrival")
+    order = sample_order(tie)
     known = F.col("fetched_at") <= F.col("saved_at")
     joined = salted_join(valid_odds(samples), locks.select("race_key", "saved_at"), "race_key", "inner", "arrival")
     return joined.groupBy(*KEY).agg(
@@ -98,9 +105,9 @@ def asof_lock(samples: DataFrame, locks: DataFrame) -> DataFrame:
     )
 
 
-def bars(samples: DataFrame, width: str = "5 minutes") -> DataFrame:
+def bars(samples: DataFrame, width: str = "5 minutes", tie: str | None = "arrival") -> DataFrame:
     """Open, high, low and close per tumbling window."""
-    order = F.struct("fetched_at", "arrival")
+    order = sample_order(tie)
     return (
         samples.groupBy(*KEY, F.window("fetched_at", width))
         .agg(
@@ -115,13 +122,15 @@ def bars(samples: DataFrame, width: str = "5 minutes") -> DataFrame:
     )
 
 
-def sliding_change(samples: DataFrame, width_minutes: int = 30, slide_minutes: int = 5) -> DataFrame:
+def sliding_change(
+    samples: DataFrame, width_minutes: int = 30, slide_minutes: int = 5, tie: str | None = "arrival"
+) -> DataFrame:
     """Last minus first odds over a trailing period.
 
     Samples first shrink to one row per slide; only those rows are repeated for the overlapping
     windows, not the raw samples.
     """
-    order = F.struct("fetched_at", "arrival")
+    order = sample_order(tie)
     panes = samples.groupBy(*KEY, F.window("fetched_at", f"{slide_minutes} minutes").alias("pane")).agg(
         F.min_by("odds", order).alias("first_odds"),
         F.max_by("odds", order).alias("last_odds"),

@@ -44,18 +44,19 @@ def score_comments(df: DataFrame, text: str, lexicon: Lexicon = Lexicon()) -> Da
     body = S.collapse(F.col(text))
     for old, new in lexicon.forms:
         body = F.replace(body, F.lit(old), F.lit(new))
-    rows = ", ".join(
-        f"named_struct('p', {_quoted(p)}, 'axis', {i}, 's', {s}D, 'mask', repeat('\u0001', {len(p)}))" for p, i, s in lexicon.ordered()
-    )
-    zeros = ", ".join("0D" for _ in axes)
-    fold = f"""aggregate(array({rows}),
-      named_struct('rest', _body, 's', array({zeros}), 'hits', 0),
-      (acc, x) -> named_struct(
-        'rest', replace(acc.rest, x.p, x.mask),
-        's', transform(acc.s, (v, i) -> v + if(i = x.axis,
-            x.s * ((length(acc.rest) - length(replace(acc.rest, x.p, ''))) / length(x.p)), 0D)),
-        'hits', acc.hits + int((length(acc.rest) - length(replace(acc.rest, x.p, ''))) / length(x.p))))"""
-    d = df.withColumn("_body", body).withColumn("_f", F.expr(fold))
+    # the mask is one sign longer than the phrase, so the growth of the text is the number of hits
+    steps = lexicon.ordered()
+    rows = ", ".join(f"named_struct('p', {_quoted(p)}, 'mask', repeat('\u0001', {len(p) + 1}))" for p, _, _ in steps)
+    fold = f"""aggregate(array({rows}), named_struct('rest', _body, 'sizes', array(length(_body))),
+      (acc, x) -> named_struct('rest', replace(acc.rest, x.p, x.mask), 'sizes', concat(acc.sizes, array(length(acc.rest)))),
+      acc -> concat(acc.sizes, array(length(acc.rest))))"""
+    d = df.withColumn("_body", body).withColumn("_sizes", F.expr(fold))
+    # entry 0 and 1 are both the size before the first phrase
+    hit = "(_sizes[{j}] - _sizes[{i}])"
+    found = [hit.format(i=k + 1, j=k + 2) for k in range(len(steps))]
+    per_axis = [" + ".join(["0D"] + [f"{s}D * {found[k]}" for k, (_, i, s) in enumerate(steps) if i == n]) for n in range(len(axes))]
+    scored = F.expr(f"named_struct('hits', element_at(_sizes, -1) - _sizes[0], 's', array({', '.join(per_axis)}))")
+    d = d.withColumn("_f", scored)
     none = F.col("_f.hits") == 0
     good, bad = none & F.col("_body").rlike(lexicon.good), none & F.col("_body").rlike(lexicon.bad)
     doubts = S.count_words(F.col("_body"), lexicon.uncertain)
@@ -92,7 +93,7 @@ def score_comments(df: DataFrame, text: str, lexicon: Lexicon = Lexicon()) -> Da
         .when(F.col("_body") != "", F.concat_ws(" ", grade, F.lit("大きな強弱なし")))
         .otherwise("未入力")
     )
-    return d.withColumns({"grade": grade, "summary": label}).drop("_body", "_f", "_good", "_bad", "_doubts")
+    return d.withColumns({"grade": grade, "summary": label}).drop("_body", "_sizes", "_f", "_good", "_bad", "_doubts")
 
 
 def segments(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:
@@ -144,15 +145,16 @@ def is_noise(s: Column, rules: CommentRules) -> Column:
 
 def is_natural(s: Column, rules: CommentRules) -> Column:
     numbers = F.regexp_count(s, F.lit(NUMBER))
+    # cheap tests first: most pieces fail one before any pattern has to be matched
     return (
         F.length(s).between(5, 220)
-        & ~is_noise(s, rules)
-        & (F.regexp_count(s, F.lit(rules.letters)) >= 5)
-        & (numbers < 4)
-        & ~(s.rlike(r"(?:^|\s)[AB][12](?:\s|$|\))") & (numbers >= 2))
-        & (S.count_words(s, rules.table_words) < 2)
         & (S.count_words(s, rules.race_words) > 0)
         & (S.count_words(s, rules.natural_words) > 0)
+        & (S.count_words(s, rules.table_words) < 2)
+        & (numbers < 4)
+        & (F.regexp_count(s, F.lit(rules.letters)) >= 5)
+        & ~is_noise(s, rules)
+        & ~((numbers >= 2) & s.rlike(r"(?:^|\s)[AB][12](?:\s|$|\))"))
     )
 
 

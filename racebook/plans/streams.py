@@ -39,7 +39,7 @@ def stream_odds_ingest(t):
 WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(fetched_at) - INTERVAL 10 MINUTE FROM {odds_samples} WHERE odds >= 1)""",
 )
 def stream_odds_bars(t):
-    out = stream.drain(stream.bars(samples(t)), "odds-bars")
+    out = stream.drain(stream.bars(samples(t), tie=None), "odds-bars")
     return out.select("race_key", "combo", at("window_start"), "open", "high", "low", "close", "n")
 
 

@@ -17,6 +17,9 @@ def build_session(app: str = "racebook", cores: str = "*", partitions: int = 8)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the feature and ticket projections generate long methods; past this size the JVM would
+        # interpret them, so Spark should evaluate them outside whole-stage code instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()

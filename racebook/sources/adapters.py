@@ -15,14 +15,15 @@ from racebook.sources.tables import TABLES, read_table
 
 ADAPTERS: dict[str, str] = {}
 
-# At most six rows per race leave this aggregate, however many source rows a race has.
+# At most six rows per race leave this aggregate, however many source rows a race has. All its
+# buffers have a fixed width (the flag enters as a number), so it runs as a hash aggregate.
 ADAPTERS["race_base"] = """
 SELECT l_orderkey AS race_key, l_linenumber AS lane, count(*) AS n,
-  CAST(sum(CAST(round(l_quantity) AS BIGINT)) AS BIGINT) AS qty,
-  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents,
-  CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS disc,
-  CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS tax,
-  min(l_returnflag) AS flag, min(l_shipdate) AS ship,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty,
+  CAST(sum(CAST(floor(l_extendedprice * 100 + 5e-1) AS BIGINT)) AS BIGINT) AS cents,
+  CAST(sum(CAST(floor(l_discount * 100 + 5e-1) AS BIGINT)) AS BIGINT) AS disc,
+  CAST(sum(CAST(floor(l_tax * 100 + 5e-1) AS BIGINT)) AS BIGINT) AS tax,
+  min(ascii(l_returnflag)) AS flag, min(l_shipdate) AS ship,
   max(l_partkey) AS part, max(l_suppkey) AS supp
 FROM {lineitem} WHERE l_linenumber <= 6
 GROUP BY l_orderkey, l_linenumber"""
@@ -38,7 +39,7 @@ SELECT race_key, lane,
   floor(disc * 1e3 / n + 5e-1) / 1e2 AS motor_2ren,
   floor(tax * 1.25e3 / n + 5e-1) / 1e2 AS boat_2ren,
   CASE WHEN (race_key + 2 * lane) % 9 = 0 THEN NULL ELSE (10 + supp % 20) / 1e2 END AS avg_st,
-  CASE WHEN flag = 'A' THEN 'A1' WHEN flag = 'N' THEN 'A2'
+  CASE WHEN flag = ascii('A') THEN 'A1' WHEN flag = ascii('N') THEN 'A2'
        WHEN (race_key + lane) % 11 = 0 THEN 'B2'
        WHEN (race_key + lane) % 13 = 0 THEN NULL ELSE 'B1' END AS racer_class,
   CASE WHEN (race_key + lane) % 7 = 0 THEN NULL
@@ -121,18 +122,22 @@ ADAPTERS["odds_samples"] = """
 SELECT user_id AS race_key, event_type AS combo, value AS odds, ts AS fetched_at, event_id AS arrival
 FROM {events}"""
 
+# Raw samples shrink to one row per combination before anything is grouped by race.
+ADAPTERS["odds_combos"] = """
+SELECT user_id AS race_key, event_type AS combo, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n
+FROM {events} GROUP BY user_id, event_type"""
+
 ADAPTERS["odds_races"] = """
-SELECT user_id AS race_key, min(ts) AS first_ts, max(ts) AS last_ts, min(event_type) AS actual_combo,
-  max_by(event_type, ts) AS last_type
-FROM {events} GROUP BY user_id"""
+SELECT race_key, min(first_ts) AS first_ts, max(last_ts) AS last_ts, min(combo) AS actual_combo,
+  max_by(combo, last_ts) AS last_type
+FROM {odds_combos} GROUP BY race_key"""
 
 # Proposed tickets of the tracked races; rarely quoted combinations were not proposed.
 ADAPTERS["odds_tickets"] = """
 SELECT race_key, combo, CAST(100 * ((race_key + length(combo)) % 4) AS INT) AS stake,
   CASE WHEN length(combo) % 3 = 0 THEN '穴' ELSE '本線' END AS ticket_group,
   ((race_key * 7 + length(combo) * 13) % 100) / 4e2 AS ai_prob
-FROM (SELECT user_id AS race_key, event_type AS combo FROM {events} GROUP BY user_id, event_type
-      HAVING count(*) >= 10) x"""
+FROM {odds_combos} WHERE n >= 10"""
 
 ADAPTERS["odds_results"] = """
 SELECT race_key, actual_combo FROM {odds_races} WHERE last_type <> 'error'"""
@@ -197,7 +202,7 @@ def _per_lane(value: str) -> str:
 ADAPTERS["race_pages"] = f"""
 SELECT race_key, max(race_no) AS race_no, concat('出走表 締切予定時刻 ',
   {", ' ', ".join(f"CAST({8 + i} + race_key % 3 AS STRING), ':{i * 4 + 10}'" for i in range(12))},
-  ' スタート展示 ', {_per_lane("concat(CASE WHEN exhibition_st < 0 THEN 'F' ELSE '' END, '.', lpad(CAST(CAST(round(abs(exhibition_st) * 100) AS INT) AS STRING), 2, '0'))")},
+  ' スタート展示 ', {_per_lane("concat(CASE WHEN exhibition_st < 0 THEN 'F' ELSE '' END, '.', lpad(CAST(CAST(floor(abs(exhibition_st) * 100 + 5e-1) AS INT) AS STRING), 2, '0'))")},
   '水面気象情報 気温 ', CAST(15 + race_key % 12 + 5e-1 AS STRING), '℃ 風速 ', CAST(max(wave_height) AS STRING), 'm 水温 ',
   CAST(10 + race_key % 15 AS STRING), '℃ 波高 ', CAST(race_key % 6 AS STRING), 'cm ',
   'コース別3連対率 ', {_per_lane("CASE WHEN course_start_rank IS NULL THEN '--' ELSE concat(CAST(course_top3_rate AS STRING), '%') END")},

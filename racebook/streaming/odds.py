@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from racebook import constants as K
 from racebook.operators.joins import first_per_key, last_per_key, salted_join
-from racebook.operators.odds import valid_odds
+from racebook.operators.odds import sample_order, valid_odds
 from racebook.session import fresh_path
 
 
@@ -69,9 +69,11 @@ def before_deadline(samples: DataFrame, watch: DataFrame) -> DataFrame:
     return rows.filter(F.col("fetched_at") < F.col("deadline")).drop("deadline")
 
 
-def bars(samples: DataFrame, width: str = "5 minutes", wait: str = "10 minutes") -> DataFrame:
+def bars(
+    samples: DataFrame, width: str = "5 minutes", wait: str = "10 minutes", tie: str | None = "arrival"
+) -> DataFrame:
     """Open, high, low, close per closed window; samples later than ``wait`` are dropped."""
-    order = F.struct("fetched_at", "arrival")
+    order = sample_order(tie)
     return (
         valid_odds(samples)
         .withWatermark("fetched_at", wait)

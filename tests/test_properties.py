@@ -87,6 +87,20 @@ def test_first_and_last_stay_between_extremes(t):
     assert d.filter("odds_min > least(odds_at_lock, odds_final) OR odds_max < greatest(odds_at_lock, odds_final)").count() == 0
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_sample_times_are_unique_per_race(spark, sf):
+    d = Source(spark, f"/root/testdata/sf{sf}").odds_samples
+    assert d.groupBy("race_key", "fetched_at").count().filter("count > 1").count() == 0
+
+
+def test_repeated_times_keep_arrival_order(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, "1-2-3", 5.0, at, 3), (1, "1-2-3", 7.0, at, 1), (1, "1-2-3", 6.0, at, 2)]
+    d = spark.createDataFrame(rows, "race_key INT, combo STRING, odds DOUBLE, fetched_at TIMESTAMP_NTZ, arrival INT")
+    r = odds.summarise_series(d).first()
+    assert (r.odds_at_lock, r.odds_final) == (7.0, 5.0)
+
+
 def test_upsert_twice_is_upsert_once(t):
     table = t.results_rows.select("race_key", "payout", F.lit(1).alias("seq"))
     changes = table.filter("payout > 0").withColumns({"payout": F.col("payout") * 2, "seq": F.lit(2)})
