@@ -72,8 +72,7 @@ def clip(c: Column, lo: float, hi: float) -> Column:
 
 def class_score(racer_class: Column) -> Column:
     """Grade as a number; unknown grades are missing."""
-    scores = F.create_map(*[F.lit(x) for kv in K.CLASS_SCORE.items() for x in kv])
-    return F.try_element_at(scores, racer_class).cast("double")
+    return F.coalesce(*[F.when(racer_class == name, F.lit(float(v))) for name, v in K.CLASS_SCORE.items()])
 
 
 def with_features(card: DataFrame) -> DataFrame:

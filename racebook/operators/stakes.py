@@ -19,8 +19,11 @@ def round_to_unit(x: Column, unit: int) -> Column:
 
 
 def group_value(mapping: dict[str, float], default: float) -> Column:
-    pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return F.coalesce(F.try_element_at(pairs, F.col("group")), F.lit(default))
+    (first, value), *rest = mapping.items()
+    chain = F.when(F.col("group") == first, value)
+    for name, value in rest:
+        chain = chain.when(F.col("group") == name, value)
+    return chain.otherwise(default)
 
 
 def clamp(x: Column, hi: Column) -> Column:

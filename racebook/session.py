@@ -20,6 +20,8 @@ def build_session(app: str = "racebook", cores: str = "*", partitions: int = 8)
         # the feature and ticket projections generate long methods; past this size the JVM would
         # interpret them, so Spark should evaluate them outside whole-stage code instead
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # the longest plans generate more classes than the default cache of 100 holds
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         # a ticket plan keeps a dozen sorts open per task; small pages suit small local tasks
         .config("spark.buffer.pageSize", "1m")
         .config("spark.ui.enabled", "false")
