@@ -180,3 +180,61 @@ NATURAL_WORDS = [
 SCORE_WORDS = [
     "足", "伸び", "出足", "回り", "まわり足", "乗り", "スタート", "ターン", "行き足", "直線", "水準", "違和感", "良く", "悪く",
 ]
+
+# --- fixed values: shares of the feature parts ----------------------------------------------
+MEET_PARTS = (0.45, 0.35, 0.20)
+COURSE_PARTS = (0.55, 0.30, 0.15)
+FULL_MEET_RACES = 6
+ROUGH_WIND, ROUGH_WAVE = 5, 3
+WEAK_INSIDE_RATE, STRONG_ATTACK_RATE = 45, 30
+
+# --- fixed values: ticket pools and scores ---------------------------------------------------
+MAIN_MIN_RETURN, MAIN_MIN_RANK = 0.90, 0.93
+MAIN_SCORE = (0.78, 0.22)
+COVER_SCORE = (0.82, 0.18)
+COVER_LOW_RETURN, COVER_PENALTY = 0.75, 0.08
+LONGSHOT_MIN_RETURN = 1.00
+LONGSHOT_SCORE = (0.55, 0.20, 0.25)
+LONGSHOT_PENALTY = 0.25
+HEDGE_SCORE = (0.5, 0.5)
+RETURN_CAP = 2.5
+
+# --- fixed values: stake factors by expected return (upper edge, factor) and probability --------
+NO_RETURN_FACTOR = 0.80
+CUT_FACTOR, FLOOR_FACTOR = 0.18, 0.45
+RETURN_FACTORS = [(1.00, 0.72), (1.30, 1.00), (1.80, 1.10), (2.50, 1.16)]
+TOP_RETURN_FACTOR = 1.20
+TINY_PROB, SMALL_PROB = 0.001, 0.01
+TINY_FACTOR, LOW_FACTOR, SMALL_FACTOR = (0.22, 0.10), (0.42, 0.15), (0.70, 0.10)
+WEAK_LONGSHOT_FACTOR = 0.20
+PROB_EXPONENT = (0.5, 0.15)
+EDGE_CAP, EDGE_GAIN = 1.5, 0.6
+
+# --- fixed values: stake reasons --------------------------------------------------------------
+STAKE_REASON = {
+    "none": "見送り",
+    "tiny": "超低確率のため少額",
+    "low": "期待値1未満のため抑制",
+    "value": "妙味大きく厚め",
+    "main": "本線を厚め",
+    "longshot": "穴は上限管理",
+    "other": "確率・期待値を加味",
+}
+
+# --- fixed values: confidence ------------------------------------------------------------------
+CONFIDENCE_SCORE = (0.88, 0.18)
+GRADE_A, GRADE_B = 0.33, 0.20
+
+# --- fixed values: patterns and labels of landed pages --------------------------------------------
+DAY_LABEL = r"(初日|最終日|\d{1,2}日目)"
+CLOSED = "最終R発売終了|本日は非開催|開催終了"
+CLOSED_STATUS = "開催終了"
+NOT_OPEN = "発売開始前"
+NEXT_RACE = r"(\d{1,2})R\s*(\d{1,2}:\d{2})"
+CLOCK_TIME = r"(?<!\d)((?:[01]?\d|2[0-3]):[0-5]\d)(?!\d)"
+DEADLINE_LABEL = "締切予定時刻"
+START_SECTION = ("スタート展示", "水面気象情報")
+START_ENTRY = r"(?<!\d)([1-6]\s+F?\s*\.?\s*\d{1,2})(?!\d)"
+WEATHER_LABELS = {"temperature": "気温", "wind_speed": "風速", "water_temperature": "水温", "wave_height": "波高"}
+COURSE_ENTRY = r"(?:^|\s)([1-6]\s+(?:-{1,2}|\d+(?:\.\d+)?%?))"
+TRIFECTA_ENTRY = r"3連単\s*([1-6])\s*[-－]\s*([1-6])\s*[-－]\s*([1-6])"

@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from racebook import constants as K
+
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
@@ -80,7 +82,7 @@ def count_words(text: Column, words: list[str]) -> Column:
 
 
 def clock_times(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"(?<!\d)((?:[01]?\d|2[0-3]):[0-5]\d)(?!\d)"), 1)
+    return F.regexp_extract_all(text, F.lit(K.CLOCK_TIME), 1)
 
 
 def compact_day(text: Column) -> Column:
@@ -118,26 +120,23 @@ def minutes_between(later: Column, earlier: Column) -> Column:
 
 
 def day_label(text: Column) -> Column:
-    return F.regexp_extract(text, r"(初日|最終日|\d{1,2}日目)", 1)
+    return F.regexp_extract(text, K.DAY_LABEL, 1)
 
 
 def sale_status(text: Column) -> Column:
     """Closed, next race with its time, not yet open, or empty, in this precedence."""
     no, time = next_race_no(text), next_race_time(text)
     return (
-        F.when(text.rlike("最終R発売終了|本日は非開催|開催終了"), "開催終了")
+        F.when(text.rlike(K.CLOSED), K.CLOSED_STATUS)
         .when(no.isNotNull(), F.concat(no.cast("string"), F.lit("R "), time))
-        .when(F.contains(text, F.lit("発売開始前")), "発売開始前")
+        .when(F.contains(text, F.lit(K.NOT_OPEN)), K.NOT_OPEN)
         .otherwise("")
     )
 
 
-_NEXT = r"(\d{1,2})R\s*(\d{1,2}:\d{2})"
-
-
 def next_race_no(text: Column) -> Column:
-    return F.regexp_extract(text, _NEXT, 1).try_cast("int")
+    return F.regexp_extract(text, K.NEXT_RACE, 1).try_cast("int")
 
 
 def next_race_time(text: Column) -> Column:
-    return F.regexp_extract(text, _NEXT, 2)
+    return F.regexp_extract(text, K.NEXT_RACE, 2)

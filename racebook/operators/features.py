@@ -85,11 +85,11 @@ def with_features(card: DataFrame) -> DataFrame:
         }
     )
     d = with_race_values(base, RANKED)
-    reliability = clip(F.coalesce("current_meet_races", F.lit(0)) / 6, 0.0, 1.0)
-    rough = (F.coalesce("wind_speed", F.lit(0.0)) >= 5) | (F.coalesce("wave_height", F.lit(0.0)) >= 3)
+    reliability = clip(F.coalesce("current_meet_races", F.lit(0)) / K.FULL_MEET_RACES, 0.0, 1.0)
+    rough = (F.coalesce("wind_speed", F.lit(0.0)) >= K.ROUGH_WIND) | (F.coalesce("wave_height", F.lit(0.0)) >= K.ROUGH_WAVE)
     attacked = (
-        (F.col("_lane1_rate") < 45)
-        & (F.coalesce("venue_kimarite_makuri", F.lit(0.0)) >= 30)
+        (F.col("_lane1_rate") < K.WEAK_INSIDE_RATE)
+        & (F.coalesce("venue_kimarite_makuri", F.lit(0.0)) >= K.STRONG_ATTACK_RATE)
         & F.col("lane").isin(3, 4)
     )
     d = d.withColumns(
@@ -101,14 +101,14 @@ def with_features(card: DataFrame) -> DataFrame:
         }
     )
     meet = (
-        lower_better("current_meet_avg_finish") * 0.45
-        + higher_better("current_meet_top2_rate") * 0.35
-        + F.col("z_meet_st") * 0.20
+        lower_better("current_meet_avg_finish") * K.MEET_PARTS[0]
+        + higher_better("current_meet_top2_rate") * K.MEET_PARTS[1]
+        + F.col("z_meet_st") * K.MEET_PARTS[2]
     )
     course = (
-        higher_better("course_top3_rate") * 0.55
-        + F.col("z_course_st") * 0.30
-        + lower_better("course_start_rank") * 0.15
+        higher_better("course_top3_rate") * K.COURSE_PARTS[0]
+        + F.col("z_course_st") * K.COURSE_PARTS[1]
+        + lower_better("course_start_rank") * K.COURSE_PARTS[2]
     )
     return d.withColumns(
         {
@@ -253,8 +253,8 @@ def confidence(card: DataFrame) -> DataFrame:
         (sum(share[1:], share[0]) / len(share)).alias("completeness"),
     )
     d = d.withColumn("margin", F.try_element_at("p", F.lit(1)) - F.try_element_at("p", F.lit(2)))
-    score = F.col("margin") * 0.88 + F.col("completeness") * 0.18
-    grade = F.when(score > 0.33, "A").when(score > 0.20, "B").otherwise("C")
+    score = F.col("margin") * K.CONFIDENCE_SCORE[0] + F.col("completeness") * K.CONFIDENCE_SCORE[1]
+    grade = F.when(score > K.GRADE_A, "A").when(score > K.GRADE_B, "B").otherwise("C")
     return d.select("race_key", "margin", "completeness", grade.alias("grade"))
 
 

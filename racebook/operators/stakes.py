@@ -64,28 +64,24 @@ def allocate_smart(
     d = d.withColumn("expected_return", F.coalesce("expected_return", c("prob") * c("odds")))
     ev = c("expected_return")
     ev_tier = (
-        F.when(ev.isNull(), 0.80)
-        .when(ev < hard_ev_cut, 0.18)
-        .when(ev < ev_floor, 0.45)
-        .when(ev < 1.00, 0.72)
-        .when(ev < 1.30, 1.00)
-        .when(ev < 1.80, 1.10)
-        .when(ev < 2.50, 1.16)
-        .otherwise(1.20)
+        F.when(ev.isNull(), K.NO_RETURN_FACTOR).when(ev < hard_ev_cut, K.CUT_FACTOR).when(ev < ev_floor, K.FLOOR_FACTOR)
     )
+    for edge, factor in K.RETURN_FACTORS:
+        ev_tier = ev_tier.when(ev < edge, factor)
+    ev_tier = ev_tier.otherwise(K.TOP_RETURN_FACTOR)
     edge = F.coalesce(F.greatest(ev - 1.0, F.lit(0.0)), F.lit(0.0))
-    ev_factor = ev_tier * (1.0 + bias * F.least(edge, F.lit(1.5)) * 0.6)
+    ev_factor = ev_tier * (1.0 + bias * F.least(edge, F.lit(K.EDGE_CAP)) * K.EDGE_GAIN)
     prob_factor = (
-        F.when(c("prob") < 0.001, 0.22 + 0.10 * bias)
-        .when(c("prob") < very_low_prob, 0.42 + 0.15 * bias)
-        .when(c("prob") < 0.01, 0.70 + 0.10 * bias)
+        F.when(c("prob") < K.TINY_PROB, K.TINY_FACTOR[0] + K.TINY_FACTOR[1] * bias)
+        .when(c("prob") < very_low_prob, K.LOW_FACTOR[0] + K.LOW_FACTOR[1] * bias)
+        .when(c("prob") < K.SMALL_PROB, K.SMALL_FACTOR[0] + K.SMALL_FACTOR[1] * bias)
         .otherwise(1.0)
     )
     group_factor = (1 - bias) * group_value(K.GROUP_WEIGHT, 0.50) + bias * group_value(K.GROUP_WEIGHT_VALUE, 0.80)
-    score = group_factor * F.pow("prob", F.lit(0.5 - 0.15 * bias)) * ev_factor * prob_factor
+    score = group_factor * F.pow("prob", F.lit(K.PROB_EXPONENT[0] - K.PROB_EXPONENT[1] * bias)) * ev_factor * prob_factor
     is_long = c("group") == K.LONGSHOT
     weak_long = F.coalesce(is_long & (ev < ev_floor), F.lit(False))
-    d = d.withColumns({"_long": F.coalesce(is_long, F.lit(False)), "_score": score * F.when(weak_long, 0.20).otherwise(1.0)})
+    d = d.withColumns({"_long": F.coalesce(is_long, F.lit(False)), "_score": score * F.when(weak_long, K.WEAK_LONGSHOT_FACTOR).otherwise(1.0)})
 
     # nothing scores: fall back to probability, then to equal shares
     d = d.withColumn("_score", F.when(F.sum("_score").over(w) > 0, c("_score")).otherwise(c("prob")))
@@ -120,15 +116,15 @@ def allocate_smart(
     more = clamp(c("_free") - earlier_sum(c("_fit"), best), c("_fit")) * unit
     d = d.withColumn("stake", (c("stake") + more).cast("int"))
 
-    # --- fixed values: stake reasons
+    label = K.STAKE_REASON
     reason = (
-        F.when(c("stake") <= 0, "見送り")
-        .when(c("_long") & (c("prob") < very_low_prob), "超低確率のため少額")
-        .when(ev < 1.0, "期待値1未満のため抑制")
-        .when(F.lit(bias >= 0.3) & (ev >= 1.5), "妙味大きく厚め")
-        .when(c("group") == K.MAIN, "本線を厚め")
-        .when(c("_long"), "穴は上限管理")
-        .otherwise("確率・期待値を加味")
+        F.when(c("stake") <= 0, label["none"])
+        .when(c("_long") & (c("prob") < very_low_prob), label["tiny"])
+        .when(ev < 1.0, label["low"])
+        .when(F.lit(bias >= 0.3) & (ev >= 1.5), label["value"])
+        .when(c("group") == K.MAIN, label["main"])
+        .when(c("_long"), label["longshot"])
+        .otherwise(label["other"])
     )
     return d.withColumn("stake_reason", reason).drop(*[x for x in d.columns if x.startswith("_")])
 

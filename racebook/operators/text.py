@@ -208,18 +208,13 @@ def preferred_links(pages: DataFrame, entity: str, fallback: str) -> DataFrame:
 
 def before_info(text: Column) -> dict[str, Column]:
     """Weather values of a pre-race page."""
-    return {
-        "temperature": S.labelled(text, "気温"),
-        "wind_speed": S.labelled(text, "風速"),
-        "water_temperature": S.labelled(text, "水温"),
-        "wave_height": S.labelled(text, "波高"),
-    }
+    return {name: S.labelled(text, label) for name, label in K.WEATHER_LABELS.items()}
 
 
 def start_exhibition(pages: DataFrame, key: str, text: str) -> DataFrame:
     """(key, lane, exhibition_st) from the start exhibition section; the last entry of a lane counts."""
-    section = S.between(F.col(text), "スタート展示", "水面気象情報")
-    hits = F.regexp_extract_all(section, F.lit(r"(?<!\d)([1-6]\s+F?\s*\.?\s*\d{1,2})(?!\d)"), 1)
+    section = S.between(F.col(text), *K.START_SECTION)
+    hits = F.regexp_extract_all(section, F.lit(K.START_ENTRY), 1)
     d = pages.select(key, F.posexplode(hits).alias("pos", "hit"))
     digits = F.lpad(F.regexp_extract("hit", r"(\d{1,2})$", 1), 2, "0")
     value = F.concat(F.lit("0."), digits).try_cast("double")
@@ -231,7 +226,7 @@ def start_exhibition(pages: DataFrame, key: str, text: str) -> DataFrame:
 def six_values(pages: DataFrame, key: str, text: str, headings: list[str]) -> DataFrame:
     """(key, heading, course, value) of the value lists under each heading; the first per course."""
     parts = segments(pages, key, text, "|".join(headings))
-    hits = F.regexp_extract_all("segment", F.lit(r"(?:^|\s)([1-6]\s+(?:-{1,2}|\d+(?:\.\d+)?%?))"), 1)
+    hits = F.regexp_extract_all("segment", F.lit(K.COURSE_ENTRY), 1)
     d = parts.select(key, F.col("marker").alias("heading"), "no", F.posexplode(hits).alias("pos", "hit"))
     d = d.select(
         key, "heading", "no", "pos",
@@ -243,7 +238,7 @@ def six_values(pages: DataFrame, key: str, text: str, headings: list[str]) -> Da
     return d.groupBy(key, "heading", "course").agg(first.getField("value").alias("value"))
 
 
-def deadline_clock(text: Column, race_no: Column, label: str = "締切予定時刻") -> Column:
+def deadline_clock(text: Column, race_no: Column, label: str = K.DEADLINE_LABEL) -> Column:
     """Clock time of the race: the n-th of the twelve times that follow the label."""
     times = S.clock_times(S.after(text, label))
     return F.when(F.size(times) >= 12, F.try_element_at(times, race_no))
@@ -251,10 +246,9 @@ def deadline_clock(text: Column, race_no: Column, label: str = "締切予定時
 
 def official_payout(text: Column) -> tuple[Column, Column]:
     """Combination and payout per 100 from the text of a result page."""
-    combo = r"3連単\s*([1-6])\s*[-－]\s*([1-6])\s*[-－]\s*([1-6])"
-    parts = [F.regexp_extract(text, combo, i) for i in (1, 2, 3)]
+    parts = [F.regexp_extract(text, K.TRIFECTA_ENTRY, i) for i in (1, 2, 3)]
     found = F.when(parts[0] != "", F.concat_ws("-", *parts))
-    tail = F.regexp_extract(text, combo + r"\s+[¥￥]?([\d,]+)円?", 4)
+    tail = F.regexp_extract(text, K.TRIFECTA_ENTRY + r"\s+[¥￥]?([\d,]+)円?", 4)
     return found, S.money(tail)
 
 

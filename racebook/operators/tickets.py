@@ -25,7 +25,7 @@ def with_ranks(outcomes: DataFrame) -> DataFrame:
     d = outcomes.withColumns(
         {"prob": F.coalesce("prob", F.lit(0.0)), "expected_return": F.col("prob") * F.col("odds")}
     )
-    capped = F.least(F.greatest("expected_return", F.lit(0.0)), F.lit(2.5))
+    capped = F.least(F.greatest("expected_return", F.lit(0.0)), F.lit(K.RETURN_CAP))
     capped = F.when(F.col("expected_return").isNotNull(), capped)
     price = F.when(F.col("odds").isNotNull(), F.greatest("odds", F.lit(0.0)))
     return d.withColumns(
@@ -63,26 +63,26 @@ def rank_tickets(
     )
     d = with_ranks(slim)
 
-    strong = yes(c("expected_return") >= 0.90) | (c("prob_rank") >= 0.93)
+    strong = yes(c("expected_return") >= K.MAIN_MIN_RETURN) | (c("prob_rank") >= K.MAIN_MIN_RANK)
     d = d.withColumn("_pool", strong).withColumn("_n", F.count_if("_pool").over(w))
     d = d.withColumns(
         {
             "_open": c("_pool") | (c("_n") < main_n),
-            "_score": c("prob_rank") * 0.78 + c("ev_rank") * 0.22,
+            "_score": c("prob_rank") * K.MAIN_SCORE[0] + c("ev_rank") * K.MAIN_SCORE[1],
         }
     )
     order = w.orderBy(c("_open").desc(), c("_score").desc(), c("prob").desc(), "code")
     d = d.withColumn("_main", F.when(c("_open"), F.row_number().over(order))).drop("_pool", "_n", "_open")
     d = d.withColumn("_main", F.when(c("_main") <= main_n, c("_main")))
 
-    penalty = F.when(yes(c("expected_return") < 0.75), 0.08).otherwise(0.0)
-    d = d.withColumn("_score", c("prob_rank") * 0.82 + c("ev_rank") * 0.18 - penalty)
+    penalty = F.when(yes(c("expected_return") < K.COVER_LOW_RETURN), K.COVER_PENALTY).otherwise(0.0)
+    d = d.withColumn("_score", c("prob_rank") * K.COVER_SCORE[0] + c("ev_rank") * K.COVER_SCORE[1] - penalty)
     order = w.orderBy(c("_main").isNotNull(), c("_score").desc(), c("prob").desc(), "code")
     d = d.withColumn("_cover", F.when(c("_main").isNull(), F.row_number().over(order)))
     d = d.withColumn("_cover", F.when(c("_cover") <= cover_n, c("_cover")))
 
     left = c("_main").isNull() & c("_cover").isNull()
-    value = yes(c("expected_return") >= 1.0)
+    value = yes(c("expected_return") >= K.LONGSHOT_MIN_RETURN)
     likely = (c("prob") >= longshot_min_prob) | yes(c("expected_return") >= longshot_exception_ev)
     d = d.withColumns({"_left": left, "_best": left & value & likely, "_good": left & value})
     d = d.withColumns({"_n1": F.count_if("_best").over(w), "_n2": F.count_if("_good").over(w)})
@@ -90,8 +90,9 @@ def rank_tickets(
         F.when(c("_n1") >= longshot_n, c("_best")).when(c("_n2") >= longshot_n, c("_good")).otherwise(c("_left"))
     )
     too_low = (c("prob") < longshot_min_prob) & yes(c("expected_return") < longshot_exception_ev)
-    score = c("ev_rank") * 0.55 + c("odds_rank") * 0.20 + c("prob_rank") * 0.25
-    d = d.withColumns({"_pool": pool, "_score": score - F.when(too_low, 0.25).otherwise(0.0)})
+    parts = K.LONGSHOT_SCORE
+    score = c("ev_rank") * parts[0] + c("odds_rank") * parts[1] + c("prob_rank") * parts[2]
+    d = d.withColumns({"_pool": pool, "_score": score - F.when(too_low, K.LONGSHOT_PENALTY).otherwise(0.0)})
     best_return = c("expected_return").desc_nulls_last()
     order = w.orderBy(c("_pool").desc(), c("_score").desc(), best_return, c("prob").desc(), "code")
     d = d.withColumn("_long", F.when(c("_pool"), F.row_number().over(order))).drop("_pool", "_best", "_good", "_n1", "_n2")
@@ -104,7 +105,7 @@ def rank_tickets(
             "_free": hedgeable,
             "_taken": F.max("_long").over(w),
             "_need": c("_outside").isNotNull() & (F.count_if(c("_long").isNotNull() & c("_outside")).over(w) == 0),
-            "_score": c("ev_rank") * 0.5 + c("prob_rank") * 0.5,
+            "_score": c("ev_rank") * K.HEDGE_SCORE[0] + c("prob_rank") * K.HEDGE_SCORE[1],
         }
     ).drop("_left", "_outside")
     order = w.orderBy(c("_free").desc(), c("_score").desc(), best_return, c("prob").desc(), "code")
