@@ -98,9 +98,28 @@ def race_key(date_text: Column, venue: Column, race_no: Column) -> Column:
     return F.concat_ws("_", compact_day(date_text), F.lpad(venue.cast("string"), 2, "0"), race_no.cast("string"))
 
 
+def epoch_micros(wall: Column) -> Column:
+    """Microseconds since 1970 of a UTC wall time, whatever the session zone."""
+    days = F.date_diff(wall.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = (F.extract(F.lit("SECOND"), wall) * 1_000_000).cast("long")
+    minutes = (days * 24 + F.hour(wall)) * 60 + F.minute(wall)
+    return minutes * 60_000_000 + seconds
+
+
+def instant(wall: Column) -> Column:
+    """Zoned timestamp of a UTC wall time."""
+    return F.timestamp_micros(epoch_micros(wall))
+
+
+def from_epoch(micros: Column) -> Column:
+    """UTC wall time of microseconds since 1970."""
+    seconds = (micros.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def utc(ts: Column) -> Column:
     """UTC wall time of a zoned timestamp, whatever the session zone."""
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+    return from_epoch(F.unix_micros(ts))
 
 
 def iso_time(text: Column) -> Column:
@@ -116,7 +135,7 @@ def japan_time(date: Column, clock: Column) -> Column:
 
 
 def minutes_between(later: Column, earlier: Column) -> Column:
-    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / 60e6
+    return (epoch_micros(later) - epoch_micros(earlier)) / 60e6
 
 
 def day_label(text: Column) -> Column:

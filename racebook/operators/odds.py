@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from racebook.functions.scalars import epoch_micros, from_epoch
 from racebook.operators.joins import first_per_key, salted_join
 
 KEY = ["race_key", "combo"]
@@ -174,9 +175,8 @@ def gap_groups(df: DataFrame, key: str, position: Column, gap: float) -> DataFra
 
 def sessions(samples: DataFrame, minutes: int = 30) -> DataFrame:
     """Runs of samples of one race without a gap longer than ``minutes``."""
-    micros = F.unix_micros(F.col("fetched_at").cast("timestamp"))
-    islands = gap_groups(samples.withColumn("us", micros), "race_key", F.col("us"), minutes * 60_000_000)
-    at = lambda c: F.timestamp_micros(F.col(c).cast("long")).cast("timestamp_ntz")
+    islands = gap_groups(samples, "race_key", epoch_micros(F.col("fetched_at")), minutes * 60_000_000)
+    at = lambda c: from_epoch(F.col(c).cast("long"))
     return islands.select("race_key", at("lo").alias("started_at"), at("hi").alias("ended_at"), "n")
 
 

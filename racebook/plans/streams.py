@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from racebook.functions.scalars import utc
+from racebook.functions.scalars import instant, utc
 from racebook.operators import odds
 from racebook.plans.registry import query
 from racebook.streaming import odds as stream
@@ -24,8 +24,8 @@ def at(name: str):
 WHERE s.odds >= 1 AND w.active AND s.fetched_at < w.deadline""",
 )
 def stream_odds_ingest(t):
-    watch = t.watchlist.withColumn("deadline", F.col("deadline").cast("timestamp"))
-    rows = stream.before_deadline(samples(t), watch).withColumn("race_date", F.to_date("fetched_at"))
+    watch = t.watchlist.withColumn("deadline", instant(F.col("deadline")))
+    rows = stream.before_deadline(samples(t), watch).withColumn("race_date", utc(F.col("fetched_at")).cast("date"))
     stored = stream.drain(rows, "odds-raw", partition_by=["race_date"])
     return stored.select("race_key", "combo", "odds", at("fetched_at"))
 

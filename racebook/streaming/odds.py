@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racebook import constants as K
+from racebook.functions.scalars import instant
 from racebook.operators.joins import first_per_key, last_per_key, salted_join
 from racebook.operators.odds import sample_order, valid_odds
 from racebook.session import fresh_path
@@ -28,7 +29,7 @@ def sample_stream(spark: SparkSession, path: str) -> DataFrame:
         F.col("user_id").alias("race_key"),
         F.col("event_type").alias("combo"),
         F.col("value").alias("odds"),
-        F.col("ts").cast("timestamp").alias("fetched_at"),
+        instant(F.col("ts")).alias("fetched_at"),
         F.col("event_id").alias("arrival"),
     )
 
