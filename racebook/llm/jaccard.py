@@ -43,8 +43,8 @@ K, FEW = 8, 32
 LOW = -(1 << 62)
 #: Entries of the broadcast list of frequent shingles at most: 8 MB.
 LIST = 1 << 20
-#: Shingles of one side of a tile.
-TILE = 1 << 21
+#: Shingles of one side of a tile; pairs and terms that are counted at a time.
+TILE, PAIRS, TERMS = 1 << 18, 1 << 22, 4096
 #: Hashes of words that a worker remembers.
 MEMO = 300_000
 
@@ -216,13 +216,14 @@ def links_of(first: list[np.ndarray], second: list[np.ndarray] | None, percent:
     owner = owner[common]
     width = int((counts > 1).sum())
     half = len(first)
-    for at in range(0, width and len(sets), 256):  # a strip of rows against all: counts in dense blocks of terms
-        strip = min(256, len(sets) - at)
+    high = max(1, PAIRS // max(1, len(sets)))
+    edges = np.searchsorted(number, range(0, width + TERMS, TERMS))
+    for at in range(0, width and len(sets), high):  # a strip of rows against all: counts in dense blocks of terms
+        strip = min(high, len(sets) - at)
         both = np.zeros((strip, len(sets)), "f4")
-        for base in range(0, width, 4096):
-            within = (number >= base) & (number < base + 4096)
-            matrix = np.zeros((len(sets), min(4096, width - base)), "f4")
-            matrix[owner[within], number[within] - base] = 1
+        for base, a, b in zip(range(0, width, TERMS), edges, edges[1:], strict=False):
+            matrix = np.zeros((len(sets), min(TERMS, width - base)), "f4")
+            matrix[owner[a:b], number[a:b] - base] = 1
             both += matrix[at : at + strip] @ matrix.T
         either = sizes[at : at + strip, None] + sizes[None, :] - both
         i, j = np.nonzero((100 * both >= percent * either) & (either > 0))
