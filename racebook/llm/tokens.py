@@ -16,9 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Words that a worker keeps; beyond it the older half goes, which changes no result.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 1_600_000
 #: Longer words are encoded each time they come.
 MEMO_LENGTH = 64
+STOPS = b".,"
 #: Words in one call of the library.
 GROUP = 100
 #: Composed Latin letters, whose small forms are one letter too, then signs that no letter or digit follows.
@@ -56,46 +57,52 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _one_piece(self, words: list[str]) -> Iterator[bytes]:
+    def _one_piece(self, words: list[bytes]) -> Iterator[bytes]:
         """Ids of words of letters alone, many words in one call. Each ends with a token that ends a word."""
         for at in range(0, len(words), GROUP):
             group = words[at : at + GROUP]
-            ids = self._ids([" ".join(group)])[0]
+            ids = self._ids([b" ".join(group).decode()])[0]
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) == len(group):
-                raw, at = ids.tobytes(), 0
+                raw, begin = ids.tobytes(), 0
                 for end in (4 * ends).tolist():
-                    yield raw[at:end]
-                    at = end
+                    yield raw[begin:end]
+                    begin = end
             else:
-                yield from (x.tobytes() for x in self._ids(group))
+                yield from (x.tobytes() for x in self._ids([w.decode() for w in group]))
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of new words; signs that follow the letters of a word are a piece of their own."""
-        memo, older, parts, letters, other, out = self.memo, self.older, {}, set(), set(), {}
+        memo, older = self.memo, self.older
+        out: dict[bytes, bytes] = {}
+        whole, stems, signs, other = [], [], [], []
         for w in words:
             if (seen := older.get(w)) is not None:
-                out[w] = memo[w] = seen
-                continue
-            text = w.decode("utf-8", "replace")
-            if m := LETTERS_THEN_SIGNS.fullmatch(text):
-                stem, signs = m[1].lower(), m[2]
-                parts[w] = stem, signs
-                letters.add(stem)
-                other.add(signs)
+                out[w] = seen
+            elif w.isalpha():  # of bytes: ASCII letters
+                whole.append(w)
+                stems.append(w.lower())
+                signs.append(b"")
+            elif w[-1] in STOPS and w[:-1].isalpha():
+                whole.append(w)
+                stems.append(w[:-1].lower())
+                signs.append(w[-1:])
+            elif m := LETTERS_THEN_SIGNS.fullmatch(w.decode("utf-8", "replace")):
+                whole.append(w)
+                stems.append(m[1].lower().encode())
+                signs.append(m[2].encode())
             else:
-                parts[w] = text, ""
-                other.add(text)
-        ids = {p: known for p in letters if (known := memo.get(p.encode())) is not None}
-        new = [p for p in letters if p not in ids]
-        ids |= zip(new, self._one_piece(new), strict=True)
-        other = list(other - ids.keys() - {""})
-        ids |= zip(other, (x.tobytes() for x in self._ids(other)), strict=True)
-        memo.update((p.encode(), ids[p]) for p in new if len(p) <= MEMO_LENGTH)
-        ids[""] = b""
-        made = {w: ids[stem] + ids[signs] for w, (stem, signs) in parts.items()}
-        memo.update((w, x) for w, x in made.items() if len(w) <= MEMO_LENGTH)
-        return out | made
+                other.append(w)
+        ids = {p: memo.get(p) or older.get(p) for p in stems}
+        new = [p for p, known in ids.items() if known is None]
+        ids.update(zip(new, self._one_piece(new), strict=True))
+        few = list(set(signs) - {b""}) + other
+        known = {b"": b""} | dict(zip(few, (x.tobytes() for x in self._ids([w.decode("utf-8", "replace") for w in few])), strict=True))
+        out.update((w, known[w]) for w in other)
+        out.update(zip(whole, [ids[p] + known[s] for p, s in zip(stems, signs, strict=True)], strict=True))
+        for found in (ids, out):
+            memo.update((w, x) for w, x in found.items() if len(w) <= MEMO_LENGTH)
+        return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self.memo) > self.memo_words // 2:
