@@ -46,7 +46,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Cut passages of 100 bytes or more that occur earlier; texts of which nothing is left go."""
     ship(spark)
     cut = suffix.without_repeats(docs).withColumn("text", F.col(f"{suffix.OWN}kept")).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.where("text <> ''").select(docs.columns)
+    return cut.where(F.col("text").rlike(r"[^ \t-\r]")).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -285,7 +285,9 @@ def learned(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col
 
 
 def labelled(docs: DataFrame, field: Field | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score under the given names. Nothing but the text counts."""
+    """``docs`` with the predicted language and its score under the given names, in place of columns that have these
+    names already. Nothing but the text counts."""
+    docs = docs.drop(*({lang, score} - {text_col}))
     if field is None:
         return docs.withColumns({lang: F.lit(UNKNOWN), score: F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast((field.languages, field.weights, field.transitions))  # size fixed by FEATURES
