@@ -16,13 +16,15 @@ KEY = ["race_key", "combo"]
 
 
 def sample_order(tie: str | None) -> Column:
-    """Order of samples: their time, then ``tie`` where a table may repeat a time.
+    """Order of samples: their time, then ``tie`` (a long), or the time alone.
 
-    Where (race, combination, time) is a key, as an ingest of one cross-section per time makes
-    it, ``tie=None`` keeps the aggregate buffers at a fixed width and Spark aggregates by hash;
-    the two-part order needs a sorted aggregate, about four times the work per sample.
+    Both are packed into one number: time in microseconds times 2 to the 64, plus the tie. A
+    buffer of it has a fixed width, so Spark aggregates by hash, which a struct would not allow.
     """
-    return F.col("fetched_at") if tie is None else F.struct("fetched_at", tie)
+    if tie is None:
+        return F.col("fetched_at")
+    micros = epoch_micros(F.col("fetched_at")).cast("decimal(18,0)")
+    return (micros * F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(38,0)") + F.col(tie).cast("decimal(19,0)")
 
 
 def valid_odds(samples: DataFrame) -> DataFrame:
@@ -224,9 +226,17 @@ def tracked_races(samples: DataFrame) -> DataFrame:
     return samples.select("race_key").distinct()
 
 
-def prune(samples: DataFrame, processed: DataFrame) -> DataFrame:
-    """Raw samples without the races whose summary is stored."""
-    return salted_join(samples, processed.select("race_key").distinct(), "race_key", "left_anti", "arrival")
+def older(samples: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Samples of days before the retention period; the condition on the time reaches the scan."""
+    return samples.filter(F.col("fetched_at") < F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz"))
+
+
+def prune(samples: DataFrame, processed: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Raw samples without those older than the retention period of races whose summary is stored."""
+    cutoff = F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz")
+    done = processed.select("race_key").distinct().withColumn("_done", F.lit(True))
+    known = salted_join(samples, done, "race_key", "left", "arrival")
+    return known.filter(F.col("_done").isNull() | (F.col("fetched_at") >= cutoff) | F.col("fetched_at").isNull()).drop("_done")
 
 
 def late_samples(samples: DataFrame, watch: DataFrame) -> DataFrame:

@@ -83,19 +83,31 @@ def payout(per_100: Column, stake: Column) -> Column:
     return F.floor(per_100 * stake / 100)
 
 
+def split_unreadable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Snapshots whose lanes can be read, parsed, and the quarantine of all others. A list of tickets may be empty or
+    absent: then nothing was bought."""
+    d = parse_payload(df)
+    lanes = F.col("payload.final")
+    d = d.withColumn("ok", F.coalesce(F.exists(lanes, lambda x: x.lane.between(1, 6) & x.p_first.isNotNull()), F.lit(False)))
+    return d.filter("ok").drop("ok"), d.filter(~F.col("ok")).select(*df.columns)
+
+
 def verification_records(snapshots: DataFrame, results: DataFrame) -> DataFrame:
     """One verification row per race from its frozen payload and the official result.
 
     Both sides hold one row per race, and the payload lists are read in place, so the join on
-    the race is the only shuffle. Equal candidates keep the order of the payload.
+    the race is the only shuffle. Equal candidates keep the order of the payload. A race without
+    tickets gives a row with stake 0. Time, date, venue and number of the race come along where a side has them.
     """
-    good, _ = split_broken(snapshots)
+    good, _ = split_unreadable(snapshots)
     d = good.join(results, "race_key")
+    kind = d.schema["payload"].dataType["tickets"].dataType
+    d = d.withColumn("_tickets", F.coalesce("payload.tickets", F.array().cast(kind)))
     final = F.filter(F.col("payload.final"), lambda x: x.lane.between(1, 6))
     fav = F.array_max(
         F.transform(final, lambda x, i: F.struct(F.coalesce(x.p_first, F.lit(-1.0)), -i, x.lane, x.p_first.alias("p")))
     )
-    tickets = F.col("payload.tickets")
+    tickets = F.col("_tickets")
     top = F.array_max(
         F.transform(
             tickets,
@@ -113,8 +125,9 @@ def verification_records(snapshots: DataFrame, results: DataFrame) -> DataFrame:
             "trifecta_actual": F.concat_ws("-", "first", "second", "third"),
         }
     )
-    d = d.withColumn("payout", payout(F.col("trifecta_payout_per_100"), hit_stake(F.col("payload.tickets"), F.col("trifecta_actual"))))
+    d = d.withColumn("payout", payout(F.col("trifecta_payout_per_100"), hit_stake(F.col("_tickets"), F.col("trifecta_actual"))))
     return d.select(
+        *[c for c in ("saved_at", "race_date", "venue", "race_no") if c in d.columns],
         "race_key",
         F.col("first").alias("first_actual"),
         F.col("second").alias("second_actual"),
@@ -133,6 +146,8 @@ def verification_records(snapshots: DataFrame, results: DataFrame) -> DataFrame:
         (F.col("trifecta_actual") == F.coalesce("_top.combo", F.lit(""))).alias("hit_top_ticket"),
         F.exists("_bought", lambda x: F.trim(x.combo) == F.col("trifecta_actual")).alias("hit_any_ticket"),
         (F.col("first") == F.col("_fav.lane")).alias("predicted_first_hit"),
+        F.to_json("_tickets").alias("tickets_json"),
+        F.to_json("payload.final").alias("lane_probs_json"),
     )
 
 

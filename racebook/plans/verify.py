@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from racebook import constants as K
 from racebook.operators import features, joins, verify
+from racebook.plans.odds import TARGETS_SQL
 from racebook.plans.race import FEATURE_SQL, card, p_sql
 from racebook.plans.registry import R6, query, r6, rounded
 from racebook.schemas import HISTORY, RESULTS, conform
@@ -116,16 +117,24 @@ def snapshots(t):
     f"""WITH top AS (SELECT race_key, arg_max(combo, (prob, coalesce(prob * odds, -1), -k)) AS top_ticket,
     max(prob) AS top_prob, max(k) AS n FROM {{tickets}} GROUP BY race_key),
 topt AS (SELECT t.race_key, t.combo, t.prob, t.odds, t.stake FROM {{tickets}} t JOIN top ON top.race_key = t.race_key AND top.top_ticket = t.combo)
-SELECT r.race_key, r.first AS first_actual, r.second AS second_actual, r.third AS third_actual, r.trifecta AS trifecta_actual,
+SELECT r.race_date, r.race_key, r.first AS first_actual, r.second AS second_actual, r.third AS third_actual, r.trifecta AS trifecta_actual,
   l.l1 AS p1_lane, {R6('l.p1')} AS p1_prob, o.combo AS top_ticket, {R6('o.prob')} AS top_ticket_prob, o.odds AS top_ticket_odds,
   o.stake AS top_ticket_stake, r.total_stake, r.payout, r.payout - r.total_stake AS profit,
   {R6('r.payout / nullif(r.total_stake, 0)')} AS roi, r.trifecta = o.combo AS hit_top_ticket, r.hit_any AS hit_any_ticket,
-  r.first = l.l1 AS predicted_first_hit
-FROM {{results_rows}} r JOIN {{top_lanes}} l ON l.race_key = r.race_key JOIN topt o ON o.race_key = r.race_key""",
+  r.first = l.l1 AS predicted_first_hit, 4 AS n_tickets, w.n AS n_lanes, t1.combo AS first_combo, w.lane AS first_lane
+FROM {{results_rows}} r JOIN (SELECT race_key, count(*) AS n, min(lane) AS lane FROM {{win_probs}} GROUP BY race_key) w ON w.race_key = r.race_key
+JOIN {{tickets}} t1 ON t1.race_key = r.race_key AND t1.k = 1
+JOIN {{top_lanes}} l ON l.race_key = r.race_key JOIN topt o ON o.race_key = r.race_key""",
 )
 def verification_record(t):
     out = verify.verification_records(snapshots(t), t.official_results)
-    return rounded(out, "p1_prob", "top_ticket_prob", "roi")
+    read = {
+        "n_tickets": F.json_array_length("tickets_json"),
+        "n_lanes": F.json_array_length("lane_probs_json"),
+        "first_combo": F.get_json_object("tickets_json", "$[0].combo"),
+        "first_lane": F.get_json_object("lane_probs_json", "$[0].lane").cast("int"),
+    }
+    return rounded(out.withColumns(read).drop("tickets_json", "lane_probs_json"), "p1_prob", "top_ticket_prob", "roi")
 
 
 @query(
@@ -195,6 +204,22 @@ def mixed_documents(t):
     )
 
 
+@query(
+    "verification_without_tickets",
+    """SELECT race_key, CASE WHEN race_key % 7 = 1 THEN 0 ELSE total_stake END AS total_stake,
+  CASE WHEN race_key % 7 = 1 THEN 0 ELSE payout END AS payout, CASE WHEN race_key % 7 = 1 THEN 0 ELSE 4 END AS n_tickets
+FROM {results_rows} WHERE race_key % 7 = 1 OR race_key % 7 > 2""",
+)
+def verification_without_tickets(t):
+    out = verify.verification_records(mixed_documents(t), t.official_results)
+    return out.select("race_key", "total_stake", "payout", F.json_array_length("tickets_json").alias("n_tickets"))
+
+
+@query("verification_quarantine", "SELECT race_key FROM {top_lanes} WHERE l3 IS NOT NULL AND race_key % 7 IN (0, 2)")
+def verification_quarantine(t):
+    return verify.split_unreadable(mixed_documents(t))[1].select("race_key")
+
+
 @query(
     "snapshot_usable",
     "SELECT race_key, race_key % 7 > 2 AS usable FROM {top_lanes} WHERE l3 IS NOT NULL",
@@ -342,8 +367,32 @@ def snapshot_first_wins(t):
 
 @query(
     "prune_rolled_up",
-    "SELECT race_key, combo, odds, fetched_at, arrival FROM {odds_samples} WHERE race_key NOT IN (SELECT race_key FROM {odds_results})",
+    """SELECT race_key, combo, odds, fetched_at, arrival FROM {odds_samples}
+WHERE CAST(fetched_at AS DATE) >= DATE '2024-01-25' - 7 OR race_key NOT IN (SELECT race_key FROM {odds_results})""",
 )
 def prune_rolled_up(t):
-    _, remaining = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results)
+    _, remaining = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results, "2024-01-25")
     return remaining
+
+
+@query(
+    "rollup_cycle",
+    f"""WITH s AS (SELECT *, CASE WHEN CAST(fetched_at AS DATE) < DATE '2024-01-20' - 7 THEN 1 ELSE 2 END AS run FROM {{odds_samples}}
+  WHERE odds >= 1 AND CAST(fetched_at AS DATE) < DATE '2024-01-25' - 7),
+{TARGETS_SQL},
+g AS (SELECT race_key, combo, run, arg_min(odds, (fetched_at, arrival)) AS odds_at_lock, arg_max(odds, (fetched_at, arrival)) AS odds_final,
+  count(*) AS n_samples, min(fetched_at) AS first_at, max(fetched_at) AS last_at FROM s GROUP BY ALL)
+SELECT g.race_key, g.combo, t.stake, t.ticket_group, g.combo = r.actual_combo AS is_hit, odds_at_lock, odds_final, n_samples, first_at, last_at
+FROM g JOIN targets t ON t.race_key = g.race_key AND t.combo = g.combo JOIN {{odds_results}} r ON r.race_key = g.race_key
+WHERE run = (SELECT max(run) FROM g AS x WHERE x.race_key = g.race_key AND x.combo = g.combo)""",
+)
+def rollup_cycle(t):
+    """Two nightly runs and one that finds nothing new."""
+    first, left = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results, "2024-01-20")
+    left = stores.store(left, "odds-samples")
+    second, rest = stores.rollup_then_prune(left, t.odds_tickets, t.odds_results, "2024-01-25", summary=first)
+    rest = stores.store(rest, "odds-samples")
+    again, _ = stores.rollup_then_prune(rest, t.odds_tickets, t.odds_results, "2024-01-25", summary=second)
+    return again.select(
+        "race_key", "combo", "stake", "ticket_group", "is_hit", "odds_at_lock", "odds_final", "n_samples", "first_at", "last_at"
+    )

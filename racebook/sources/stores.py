@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racebook.operators.joins import last_per_key
-from racebook.operators.odds import prune, rollup
+from racebook.operators.joins import first_per_key, last_per_key
+from racebook.operators.odds import older, prune, rollup
 from racebook.session import fresh_path
 
 
@@ -36,9 +36,10 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: str) ->
     return last_per_key(table.unionByName(changes), keys, [order])
 
 
-def insert_if_absent(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The table plus the rows of ``new`` whose key it does not hold."""
-    return table.unionByName(new.join(table.select(*keys), keys, "left_anti"))
+def insert_if_absent(table: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The table plus, for every key it does not hold, the first row of ``new`` in ``order`` (all columns by default)."""
+    first = first_per_key(new, keys, order or [c for c in new.columns if c not in keys])
+    return table.unionByName(first.join(table.select(*keys), keys, "left_anti"))
 
 
 def delete_by_key(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,14 +54,25 @@ def deactivate(watch: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     ).drop("_done")
 
 
-def rollup_then_prune(samples: DataFrame, tickets: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+def rollup_then_prune(
+    samples: DataFrame, tickets: DataFrame, results: DataFrame, as_of: str, days: int = 7, summary: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Stored summary and the remaining raw samples.
 
-    Raw rows go only after the summary has been written, and only for finished races; a failed
-    write leaves them for the next run. A finished race without any target is pruned as well.
+    Only samples older than the retention period count. Their roll-up replaces rows of an earlier
+    ``summary`` with the same race and combination. Raw rows go only after the summary has been
+    written, and only for finished races; a failed write leaves them for the next run. A finished
+    race without any target is pruned as well.
     """
-    summary = store(rollup(samples, tickets, results), "odds_summary")
-    return summary, prune(samples, results)
+    new = rollup(older(samples, as_of, days), tickets, results)
+    if summary is not None:
+        new = new.unionByName(summary.join(new.select("race_key", "combo"), ["race_key", "combo"], "left_anti"))
+    return store(new, "odds_summary"), prune(samples, results, as_of, days)
+
+
+def freed(before: DataFrame, after: DataFrame) -> int:
+    """Raw rows that a pruning run took away."""
+    return before.count() - after.count()
 
 
 # --- fixed values: display names of the ticket export

@@ -13,12 +13,3 @@ TABLES = (
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores, before heavy work per row.
-
-    Such an input is small, so moving its rows costs little; a large table has many splits and
-    is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -53,7 +53,8 @@ def test_hot_race(spark):
         locks = d.groupBy("race_key").agg((F.min("fetched_at") + F.make_dt_interval(days=F.lit(1))).alias("saved_at"))
         got = {(r.race_key, r.combo): r for r in odds.asof_lock(d, locks).collect()}
         gone = locks.filter("race_key < 100")
-        assert odds.prune(d, gone).count() == sum(r[0] >= 100 for r in rows)
+        assert odds.prune(d, gone, "2030-01-01").count() == sum(r[0] >= 100 for r in rows)
+        assert odds.prune(d, gone, "2000-01-01").count() == len(rows)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     mine = sorted((r[3], r[4], r[2]) for r in rows if r[0] == 0 and r[1] == "1-2-3" and r[2] >= 1)
@@ -110,14 +111,33 @@ def test_upsert_twice_is_upsert_once(t):
     assert once.count() == table.count()
     same = stores.insert_if_absent(once, table, ["race_key"])
     assert same.count() == once.count()
+    fresh = once.limit(1).withColumn("race_key", F.lit(-1).cast("long"))
+    both = stores.insert_if_absent(once, fresh.withColumn("seq", F.lit(9)).unionByName(fresh.withColumn("seq", F.lit(8))), ["race_key"], ["seq"])
+    assert [r.seq for r in both.filter("race_key = -1").collect()] == [8]
 
 
 def test_prune_keeps_every_unfinished_race(t):
-    summary, left = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results)
+    summary, left = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results, "2030-01-01")
     unfinished = odds.tracked_races(t.odds_samples).join(t.odds_results, "race_key", "left_anti")
     assert left.select("race_key").distinct().count() == unfinished.count()
     assert left.count() == t.odds_samples.join(unfinished, "race_key").count()
     assert summary.join(left.select("race_key").distinct(), "race_key").count() == 0
+    assert stores.freed(t.odds_samples, left) == t.odds_samples.join(t.odds_results, "race_key", "left_semi").count()
+
+
+def test_prune_keeps_the_retention_period(t):
+    _, left = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results, "2024-01-25")
+    recent = "fetched_at >= TIMESTAMP_NTZ '2024-01-18'"
+    assert left.filter(recent).count() == t.odds_samples.filter(recent).count() > 0
+
+
+def test_preparation_of_constant_and_fine_columns(spark):
+    d = spark.createDataFrame([(i / 1000, 0.1, "01") for i in range(6)], "a DOUBLE, b DOUBLE, venue STRING")
+    d = d.select(*[F.col("b" if c == "avg_st" else "a").alias(c) for c in model.NUMERIC], "venue", F.lit(1).alias("finish"))
+    prep = model.Preparation.fit(d)
+    assert prep.medians["motor_2ren"] == pytest.approx(0.0025) and prep.means["motor_2ren"] == pytest.approx(0.0025)
+    assert prep.deviations["avg_st"] == 0
+    assert [r.z_avg_st for r in prep.transform(d).collect()] == pytest.approx([0.0] * 6, abs=1e-12)
 
 
 def test_partitions_are_replaced_one_by_one(spark, tmp_path):
