@@ -28,6 +28,8 @@ from racebook.llm.common import batch_of
 
 #: Candidates and queries of one block. The scores of a pair of blocks take 8 bytes for each of their pairs.
 CANDIDATES, QUERIES = 4096, 512
+#: Queries whose scores grow side by side.
+TOGETHER = 16
 
 HIT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 HITS = "query_id long, vec_id long, score long"
@@ -53,19 +55,33 @@ def postings(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def score_block(queries: list[np.ndarray], candidates: list[np.ndarray]) -> np.ndarray:
-    """Scores, queries by candidates."""
-    scores = np.zeros((len(queries), len(candidates)), "i8")
-    q_term, q_row, q_weight = postings(queries)
+    """Scores, queries by candidates. A few queries go at a time, so that their scores stay in the cache while term
+    after term adds to them."""
     c_term, c_row, c_weight = postings(candidates)
-    for term in np.intersect1d(q_term, c_term).tolist():
-        a, b = np.searchsorted(q_term, [term, term + 1])
-        c, d = np.searchsorted(c_term, [term, term + 1])
-        if d - c == len(candidates):  # the list holds every row in order
-            for q, w in zip(q_row[a:b].tolist(), q_weight[a:b].tolist(), strict=True):
-                scores[q] += w * c_weight[c:d]
-        else:
-            for q, w in zip(q_row[a:b].tolist(), q_weight[a:b].tolist(), strict=True):
-                scores[q, c_row[c:d]] += w * c_weight[c:d]
+    q_lists = [postings(queries[at : at + TOGETHER]) for at in range(0, len(queries), TOGETHER)]
+    largest = [int(np.abs(w).max()) if len(w) else 0 for w in (c_weight, np.concatenate([q[2] for q in q_lists]))]
+    terms = max(map(len, queries), default=0)
+    kind = "i4" if largest[0] * largest[1] * max(1, terms) < 1 << 31 else "i8"
+    scores = np.zeros((len(queries), len(candidates)), kind)
+    c_weight = c_weight.astype(kind)
+    lists = {}
+    ends = np.append(np.flatnonzero(np.diff(c_term)) + 1, len(c_term)).tolist() if len(c_term) else []
+    for c, d in zip([0, *ends], ends, strict=False):
+        lists[int(c_term[c])] = (c_row[c:d], c_weight[c:d], d - c == len(candidates))
+    for at, (q_term, q_row, q_weight) in zip(range(0, len(queries), TOGETHER), q_lists, strict=True):
+        own, q_weight = scores[at : at + TOGETHER], q_weight.astype(kind)
+        ends = np.append(np.flatnonzero(np.diff(q_term)) + 1, len(q_term)).tolist() if len(q_term) else []
+        for a, b in zip([0, *ends], ends, strict=False):
+            if (term := int(q_term[a])) not in lists:
+                continue
+            rows, weights, whole = lists[term]
+            added = np.multiply.outer(q_weight[a:b], weights)
+            if whole and b - a == len(own):
+                own += added
+            elif whole:
+                own[q_row[a:b]] += added
+            else:
+                own[q_row[a:b, None], rows] += added
     return scores
 
 
@@ -107,9 +123,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 scores = score_block(*sides)
                 out = []
                 for q, own in enumerate(q_ids.tolist()):
-                    others = np.flatnonzero(ids != own)
-                    top = others[best(scores[q][others], ids[others], k)]
-                    out.append((np.full(len(top), own), ids[top], scores[q][top]))
+                    top = best(scores[q], ids, k + int((ids == own).sum()))
+                    top = top[ids[top] != own][:k]
+                    out.append((np.full(len(top), own), ids[top], scores[q][top].astype("i8")))
                 yield batch_of(HIT, [np.concatenate(c) for c in zip(*out, strict=True)])
 
     found = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4).mapInArrow(hits, HITS)
