@@ -47,10 +47,12 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, weight: Column | No
 
 def postings(vectors: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Term, row and weight of all weights but zeros, sorted by term."""
-    term = np.concatenate([np.flatnonzero(v) for v in vectors] or [np.zeros(0, "i8")])
-    row = np.repeat(np.arange(len(vectors)), [np.count_nonzero(v) for v in vectors])
-    weight = np.concatenate([v[v != 0] for v in vectors] or [np.zeros(0, "i8")])
-    order = np.argsort(term, kind="stable")
+    sizes = np.array([len(v) for v in vectors], "i8")
+    weight = np.concatenate(vectors) if vectors else np.zeros(0, "i8")
+    row = np.repeat(np.arange(len(vectors)), sizes)
+    term = np.arange(len(weight)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    given = np.flatnonzero(weight)
+    order = given[np.argsort(term[given], kind="stable")]
     return term[order], row[order], weight[order]
 
 
@@ -64,27 +66,38 @@ def score_block(queries: list[np.ndarray], candidates: list[np.ndarray]) -> np.n
     kind = "i4" if largest[0] * largest[1] * max(1, terms) < 1 << 31 else "i8"
     scores = np.zeros((len(queries), len(candidates)), kind)
     c_weight = c_weight.astype(kind)
-    lists = {}
-    ends = np.append(np.flatnonzero(np.diff(c_term)) + 1, len(c_term)).tolist() if len(c_term) else []
-    for c, d in zip([0, *ends], ends, strict=False):
-        lists[int(c_term[c])] = (c_row[c:d], c_weight[c:d], d - c == len(candidates))
+    lists = dict(term_lists(c_term, c_row, c_weight.astype(kind), len(candidates)))
     for at, (q_term, q_row, q_weight) in zip(range(0, len(queries), TOGETHER), q_lists, strict=True):
-        own, q_weight = scores[at : at + TOGETHER], q_weight.astype(kind)
-        ends = np.append(np.flatnonzero(np.diff(q_term)) + 1, len(q_term)).tolist() if len(q_term) else []
-        for a, b in zip([0, *ends], ends, strict=False):
-            if (term := int(q_term[a])) not in lists:
+        own = scores[at : at + TOGETHER]
+        for term, (q_rows, q_weights) in term_lists(q_term, q_row, q_weight.astype(kind), len(own)):
+            if term not in lists:
                 continue
-            rows, weights, whole = lists[term]
-            added = np.multiply.outer(q_weight[a:b], weights)
-            if whole and b - a == len(own):
+            rows, weights = lists[term]
+            added = np.multiply.outer(q_weights, weights)
+            if rows is None and q_rows is None:
                 own += added
-            elif whole:
-                own[q_row[a:b]] += added
+            elif rows is None:
+                own[q_rows] += added
+            elif q_rows is None:
+                own[:, rows] += added
             else:
-                own[q_row[a:b, None], rows] += added
+                own[q_rows[:, None], rows] += added
     return scores
 
 
+def term_lists(term: np.ndarray, row: np.ndarray, weight: np.ndarray, n: int) -> Iterator[tuple[int, tuple[np.ndarray | None, np.ndarray]]]:
+    """Every term with its rows and weights. A list of a quarter of all rows or more is written out: rows are None
+    and the weights, zeros among them, stand for all rows."""
+    ends = (np.append(np.flatnonzero(np.diff(term)) + 1, len(term)) if len(term) else np.zeros(0, "i8")).tolist()
+    for a, b in zip([0, *ends], ends, strict=False):
+        if 4 * (b - a) >= n:
+            full = np.zeros(n, weight.dtype)
+            full[row[a:b]] = weight[a:b]
+            yield int(term[a]), (None, full)
+        else:
+            yield int(term[a]), (row[a:b], weight[a:b])
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best scores, ties to smaller ids."""
     if len(scores) > k:
