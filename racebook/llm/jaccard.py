@@ -15,8 +15,11 @@ Two documents link when the sizes of the intersection and the union of their shi
 * A key of few documents gives its pairs, a key of many a star around its smallest document; components of these
   candidates are clusters. Texts of clusters are read again and every cluster is verified on whole sets,
   in tiles of bounded size, inside tasks. Tiles emit no pairs, only a spanning forest of the links found.
+* Blocks of a large cluster are first verified each for itself, with pivots that all of them share; only what that
+  leaves outside the largest component meets the whole cluster.
 
-So work grows with the sizes of clusters, not with squares of groups of copies, and no candidate is capped.
+So work grows with the sizes of groups of near copies, not with their squares, and no candidate is capped. A cluster
+of candidates that are mostly not linked still costs the product of its size and of what stays apart.
 
 Null texts and texts without words have an empty set and link with nothing. A text with fewer words than a
 shingle has its whole sequence as its one shingle. Repeated rows and repeated ids with equal sets fall into one
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from racebook.llm.common import drop_stored, id_and_text, in_blocks, rows, stored
@@ -45,6 +48,8 @@ LOW = -(1 << 62)
 LIST = 1 << 20
 #: Shingles of one side of a tile; pairs and terms that are counted at a time.
 TILE, PAIRS, TERMS = 1 << 18, 1 << 22, 4096
+#: All blocks of a cluster share pivots of the size of a block divided by this.
+SHARE = 8
 #: Hashes of words that a worker remembers.
 MEMO = 300_000
 
@@ -262,11 +267,9 @@ def few_limit(counted: DataFrame) -> int:
     return 1 << power
 
 
-def verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """a, b: a spanning forest of the true links inside clusters (doc_id, cluster, n)."""
-    sizes = clusters.groupBy("cluster").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / TILE).cast("int")
-    dealt = clusters.join(sizes, "cluster").select("doc_id", "cluster", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+def tiled_links(docs: DataFrame, dealt: DataFrame, words: int, percent: int, diagonal: bool) -> DataFrame:
+    """a, b: a spanning forest of the true links in every tile. ``dealt``: doc_id, cluster, block, first, last; a row
+    goes to the tiles of its block with the blocks first to last, or, if ``diagonal``, to these blocks alone."""
     texts = docs.join(dealt, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,12 +277,14 @@ def verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
         for block in in_blocks(rows(batches), 1):
             found = shingler.sets([r[1] for r in block])
             ends = np.cumsum([0, *map(len, found)]).astype("i4")
-            keys = [pa.array([r[i] for r in block], t) for i, t in ((0, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["doc_id", "cluster", "blocks", "block", "tokens"])
+            keys = [pa.array([r[i] for r in block], t) for i, t in ((0, pa.int64()), (2, pa.int64()), (3, pa.int32()), (4, pa.int32()), (5, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*keys, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["doc_id", "cluster", "block", "first", "last", "tokens"])
 
-    whole = texts.select("doc_id", "text", "cluster", "blocks", "block").mapInArrow(sets, "doc_id long, cluster long, blocks int, block int, tokens array<long>")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tiles = whole.withColumn("other", other).select("doc_id", "cluster", "block", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    whole = texts.select("doc_id", "text", "cluster", "block", "first", "last").mapInArrow(sets, "doc_id long, cluster long, block int, first int, last int, tokens array<long>")
+    spread = whole.withColumn("other", F.explode(F.sequence("first", "last")))
+    if diagonal:
+        spread = spread.withColumn("block", F.col("other"))
+    tiles = spread.select("doc_id", "cluster", "block", "tokens", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def tile(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -295,6 +300,44 @@ def verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
     return tiles.groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long")
 
 
+def dealt_to(salt: str, blocks: Column) -> Column:
+    """Block of a document, by a hash of its id."""
+    return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), blocks).cast("int")
+
+
+def verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, component: what the true links inside clusters (doc_id, cluster, n) join.
+
+    Every block of a cluster is verified in itself, together with pivots that all blocks of the cluster share: its
+    smallest id and, by hash, the SHARE-th part of a block. That joins a group of near copies at a cost in
+    proportion to its size. What its largest component does not hold is then verified against the whole cluster.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("blocks"))
+    own = clusters.join(sizes, "cluster").withColumn("block", dealt_to("block", F.col("blocks")))
+    pivot = (F.col("doc_id") == F.col("cluster")) | (dealt_to("pivot", F.col("blocks") * SHARE) == 0)
+    last = F.when(pivot, F.col("blocks") - 1).otherwise(F.col("block"))
+    near = own.withColumns({"first": F.when(pivot, F.lit(0)).otherwise(F.col("block")), "last": last})
+    found = stored(tiled_links(docs, near, words, percent, diagonal=True), "block-links")
+    joined = components(found)
+    label = joined.select(F.col("node").alias("doc_id"), "component")
+    several = own.where("blocks > 1").join(label, "doc_id", "left").select("doc_id", "cluster", "n", F.coalesce("component", "doc_id").alias("component"))
+    several = stored(several, "large-clusters")
+    parts = several.groupBy("cluster", "component").agg(F.sum("n").alias("size"))
+    core = parts.groupBy("cluster").agg(F.max_by("component", F.struct("size", "component")).alias("core"), F.max("size").alias("most"), F.sum("size").alias("whole"))
+    core = core.where("whole > most").select("cluster", "core", F.ceil(F.col("most") / TILE).cast("int").alias("inner"), F.ceil((F.col("whole") - F.col("most")) / TILE).cast("int").alias("outer"))
+    inside = F.col("component") == F.col("core")
+    block = F.when(inside, dealt_to("core", F.col("inner"))).otherwise(F.col("inner") + dealt_to("rest", F.col("outer")))
+    rest = several.join(core, "cluster").select("doc_id", "cluster", block.alias("block"), F.when(inside, F.col("inner")).otherwise(0).alias("first"), (F.col("inner") + F.col("outer") - 1).alias("last"))
+    if rest.isEmpty():
+        drop_stored(found, several)
+        return joined
+    more = stored(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(tiled_links(docs, rest, words, percent, diagonal=False)), "true-links")
+    drop_stored(found, several, joined)
+    out = components(more)
+    drop_stored(more)
+    return out
+
+
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     few = id_and_text(docs, id_col, text_col)
@@ -311,10 +354,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     drop_stored(counted)
     cluster = components(found)
     sized = classes.select("doc_id", "n").join(cluster.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    true = stored(verified(few.where("doc_id is not null"), sized, words, percent), "true-links")
-    joined = components(true)
+    joined = verified(few.where("doc_id is not null"), sized, words, percent)
     named = classes.select("n", "c1", "c2", "doc_id").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     named = stored(named.select("n", "c1", "c2", F.coalesce("component", "doc_id").alias("component_id")), "named-classes")
-    drop_stored(classes, found, cluster, true, joined)
+    drop_stored(classes, found, cluster, joined)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     return members.join(named, ["n", "c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component)

@@ -180,8 +180,9 @@ def shingles(text, k):
     return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
-def test_jaccard_groups_equal_all_pairs(docs, empty, spark, k, percent):
+@pytest.mark.parametrize("k,percent,tile", [(3, 90, jaccard.TILE), (5, 80, jaccard.TILE), (3, 90, 700), (5, 80, 2000)])
+def test_jaccard_groups_equal_all_pairs(docs, empty, spark, monkeypatch, k, percent, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)  # a small one parts clusters into many blocks
     rng = random.Random(8)
     family = prose(rng, 120, 3000).split()
     copies = [" ".join(rng.choice(["new", "word"]) + str(rng.random()) if rng.random() < 0.015 else w for w in family) for _ in range(90)]
