@@ -16,6 +16,8 @@ from racebook.sources.tables import read_table
 
 #: A text whose main language has a smaller share of its words is rejected.
 LEAST_SHARE = 0.4
+#: Words that a worker remembers while it packs: fewer than packing alone may, as the workers serve all stages.
+MEMO_WORDS = 250_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +54,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
     ship(spark)
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, memo_words=MEMO_WORDS)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

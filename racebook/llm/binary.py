@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from racebook.llm.common import batch_of, id_and_text, in_blocks, made_folder, mapped, put, rows, shard_count, stored
-from racebook.llm.tokens import encoder_of
+from racebook.llm.tokens import collector_off, encoder_of
 
 MAGIC = b"TOKIDX01"
 HEADER = struct.Struct("<8sIIQ")  # magic, bytes an id, 0, documents
@@ -70,12 +70,13 @@ def write_binary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         width = 2 if max(len(encoder.ends_word) - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
         keys, lengths, ids = [], [], []
-        for block in in_blocks(rows(batches), 1):
-            for (key, _), raw in zip(block, encoder.encode([t for _, t in block]), strict=True):
-                own = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes() + end
-                keys.append(key)
-                lengths.append(len(own) // width)
-                ids.append(own)
+        with collector_off():
+            for block in in_blocks(rows(batches), 1):
+                for (key, _), raw in zip(block, encoder.encode([t for _, t in block]), strict=True):
+                    own = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes() + end
+                    keys.append(key)
+                    lengths.append(len(own) // width)
+                    ids.append(own)
         if keys:
             path = f"{folder}/{shard:07d}-{uuid.uuid4().hex}"
             write_shard(path, keys, lengths, ids, width)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from racebook.llm.common import batch_of, id_and_text, in_blocks, rows, shard_count
-from racebook.llm.tokens import encoder_of
+from racebook.llm.tokens import MEMO_WORDS, collector_off, encoder_of
 
 SIZE = 4096
 #: Price in tokens of a cut inside a document after a sentence, inside a sentence, and of one more sequence.
@@ -89,23 +89,24 @@ def pieces(doc_ends: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     return [doc, begin - doc_begin[doc], length, sequence, begin - cuts[sequence]]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
     """One row a piece, with its ids as little-endian unsigned 32-bit integers. Sequence ids hold the shard in
-    their upper bits, so no shard waits for the others."""
+    their upper bits, so no shard waits for the others. A worker remembers ``memo_words`` words, which changes no result."""
     few = id_and_text(docs, id_col, text_col)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, memo_words)
         stops = np.zeros(max(len(encoder.ends_word), end_id + 1), bool)
         stops[encoder.sentence_ends()] = True
         end = np.array([end_id], "<u4").tobytes()
         keys: list[int | None] = []
         found: list[bytes] = []
-        for block in in_blocks(rows(batches), 1):
-            keys += [k for k, _ in block]
-            found += [raw + end for raw in encoder.encode([t for _, t in block])]
+        with collector_off():
+            for block in in_blocks(rows(batches), 1):
+                keys += [k for k, _ in block]
+                found += [raw + end for raw in encoder.encode([t for _, t in block])]
         if not keys:
             return
         doc_ends = np.cumsum([len(x) // 4 for x in found])

@@ -7,6 +7,7 @@ ids of its words in a row. Each worker keeps the ids of the words it has met, up
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import os
@@ -14,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Words that a worker keeps; beyond it the older half goes, which changes no result.
 MEMO_WORDS = 1_000_000
@@ -27,10 +29,23 @@ LETTERS_THEN_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*
 
 
 @functools.cache
-def encoder_of(path: str) -> WordEncoder:
-    """One encoder a worker, which lives on from task to task. It makes no cycles that need collecting."""
+def encoder_of(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
+    """One encoder a worker, which lives on from task to task."""
+    return WordEncoder(path, memo_words)
+
+
+@contextlib.contextmanager
+def collector_off() -> Iterator[None]:
+    """Encoding makes no cycles, and looking for some among many small objects takes long; what runs after it in
+    the same worker finds the collector as it was, and buffers that Arrow holds in reserve given back."""
+    was = gc.isenabled()
     gc.disable()
-    return WordEncoder(path)
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+        pa.default_memory_pool().release_unused()
 
 
 class WordEncoder:
