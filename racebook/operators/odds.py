@@ -239,6 +239,24 @@ def prune(samples: DataFrame, processed: DataFrame, as_of: str, days: int = 7) -
     return known.filter(F.col("_done").isNull() | (F.col("fetched_at") >= cutoff) | F.col("fetched_at").isNull()).drop("_done")
 
 
+def outdated_races(samples: DataFrame, results: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """Finished races whose newest sample is older than the retention period."""
+    newest = samples.groupBy("race_key").agg(F.max("fetched_at").alias("newest"))
+    return older(newest.withColumnRenamed("newest", "fetched_at"), as_of, days).select("race_key").join(
+        results.select("race_key"), "race_key", "left_semi"
+    )
+
+
+def of_races(samples: DataFrame, races: DataFrame) -> DataFrame:
+    """All samples of the given races that have a time."""
+    return salted_join(samples.filter(F.col("fetched_at").isNotNull()), races, "race_key", "left_semi", "arrival")
+
+
+def without_races(samples: DataFrame, races: DataFrame) -> DataFrame:
+    """Samples of all other races."""
+    return salted_join(samples, races, "race_key", "left_anti", "arrival")
+
+
 def late_samples(samples: DataFrame, watch: DataFrame) -> DataFrame:
     """Per race the samples stored (before the deadline) and refused (at or after it)."""
     joined = salted_join(valid_odds(samples), watch.select("race_key", "deadline"), "race_key", "inner", "arrival")

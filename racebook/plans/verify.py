@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from racebook import constants as K
@@ -371,7 +373,7 @@ def snapshot_first_wins(t):
 WHERE CAST(fetched_at AS DATE) >= DATE '2024-01-25' - 7 OR race_key NOT IN (SELECT race_key FROM {odds_results})""",
 )
 def prune_rolled_up(t):
-    _, remaining = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results, "2024-01-25")
+    _, remaining = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results, "2024-01-25", whole_races=False)
     return remaining
 
 
@@ -387,12 +389,13 @@ FROM g JOIN targets t ON t.race_key = g.race_key AND t.combo = g.combo JOIN {{od
 WHERE run = (SELECT max(run) FROM g AS x WHERE x.race_key = g.race_key AND x.combo = g.combo)""",
 )
 def rollup_cycle(t):
-    """Two nightly runs and one that finds nothing new."""
-    first, left = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results, "2024-01-20")
+    """Two nightly runs and one that finds nothing new; by the time of each sample, as the check SQL says."""
+    by_sample = partial(stores.rollup_then_prune, tickets=t.odds_tickets, results=t.odds_results, whole_races=False)
+    first, left = by_sample(t.odds_samples, as_of="2024-01-20")
     left = stores.store(left, "odds-samples")
-    second, rest = stores.rollup_then_prune(left, t.odds_tickets, t.odds_results, "2024-01-25", summary=first)
+    second, rest = by_sample(left, as_of="2024-01-25", summary=first)
     rest = stores.store(rest, "odds-samples")
-    again, _ = stores.rollup_then_prune(rest, t.odds_tickets, t.odds_results, "2024-01-25", summary=second)
+    again, _ = by_sample(rest, as_of="2024-01-25", summary=second)
     return again.select(
         "race_key", "combo", "stake", "ticket_group", "is_hit", "odds_at_lock", "odds_final", "n_samples", "first_at", "last_at"
     )

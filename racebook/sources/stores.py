@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racebook.operators.joins import first_per_key, last_per_key
-from racebook.operators.odds import older, prune, rollup
+from racebook.operators.odds import of_races, older, outdated_races, prune, rollup, without_races
 from racebook.session import fresh_path
 
 
@@ -55,19 +55,33 @@ def deactivate(watch: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rollup_then_prune(
-    samples: DataFrame, tickets: DataFrame, results: DataFrame, as_of: str, days: int = 7, summary: DataFrame | None = None
+    samples: DataFrame,
+    tickets: DataFrame,
+    results: DataFrame,
+    as_of: str,
+    days: int = 7,
+    summary: DataFrame | None = None,
+    whole_races: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Stored summary and the remaining raw samples.
 
-    Only samples older than the retention period count. Their roll-up replaces rows of an earlier
-    ``summary`` with the same race and combination. Raw rows go only after the summary has been
-    written, and only for finished races; a failed write leaves them for the next run. A finished
-    race without any target is pruned as well.
+    Finished races whose newest sample is older than the retention period are rolled up and pruned
+    as a whole; a race with later samples waits. The roll-up replaces rows of an earlier ``summary``
+    with the same race and combination. Raw rows go only after the summary has been written; a
+    failed write leaves them for the next run. A finished race without any target is pruned as well.
+
+    Without ``whole_races`` the time of each sample decides: a race may then go in parts, and the
+    summary of a later part replaces that of the earlier one.
     """
-    new = rollup(older(samples, as_of, days), tickets, results)
+    if whole_races:
+        races = outdated_races(samples, results, as_of, days)
+        due, left = of_races(samples, races), without_races(samples, races)
+    else:
+        due, left = older(samples, as_of, days), prune(samples, results, as_of, days)
+    new = rollup(due, tickets, results)
     if summary is not None:
         new = new.unionByName(summary.join(new.select("race_key", "combo"), ["race_key", "combo"], "left_anti"))
-    return store(new, "odds_summary"), prune(samples, results, as_of, days)
+    return store(new, "odds_summary"), left
 
 
 def freed(before: DataFrame, after: DataFrame) -> int:

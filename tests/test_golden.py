@@ -9,6 +9,7 @@ from racebook import constants as K
 from racebook.functions import ranks, scalars
 from racebook.operators import features, model, odds, stakes, text, trifecta, verify
 from racebook.schemas import PAYLOAD, conform, require_columns
+from racebook.sources import stores
 
 
 def one_race(spark, values, name="v"):
@@ -167,6 +168,23 @@ def test_rollup_of_a_series(spark):
     assert len(got) == 2
 
 
+def test_races_are_rolled_up_whole(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    rows = [(1, "1-2-3", 10.0, day(10), 1), (1, "1-2-3", 8.0, day(16), 2), (2, "1-2-3", 5.0, day(10), 3), (3, "1-2-3", 4.0, day(9), 4), (3, "1-2-3", 6.0, None, 5)]
+    samples = spark.createDataFrame(rows, "race_key INT, combo STRING, odds DOUBLE, fetched_at TIMESTAMP_NTZ, arrival INT")
+    bets = spark.createDataFrame([(k, "1-2-3", 100, "本線", 0.2) for k in (1, 2, 3)], "race_key INT, combo STRING, stake INT, ticket_group STRING, ai_prob DOUBLE")
+    done = spark.createDataFrame([(1, "1-2-3"), (3, "1-2-3")], "race_key INT, actual_combo STRING")
+    first, left = stores.rollup_then_prune(samples, bets, done, "2024-01-20")
+    assert [(r.race_key, r.n_samples) for r in first.collect()] == [(3, 1)]  # race 1 still has a sample of the last days
+    assert sorted(r.arrival for r in left.collect()) == [1, 2, 3]
+    second, left = stores.rollup_then_prune(left, bets, done, "2024-01-25", summary=first)
+    got = {r.race_key: r for r in second.collect()}
+    assert sorted(got) == [1, 3] and got[3].n_samples == 1
+    r = got[1]
+    assert (r.odds_at_lock, r.odds_final, r.odds_max, r.n_samples, r.first_at, r.last_at) == (10.0, 8.0, 10.0, 2, day(10), day(16))
+    assert [r.arrival for r in left.collect()] == [3]
+
+
 def test_conform(spark):
     d = spark.createDataFrame([("1", "x", 3)], "a STRING, b STRING, extra INT")
     out = conform(d, "b INT, a INT, c DOUBLE, n INT", {"n": 7})
