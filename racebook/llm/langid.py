@@ -13,6 +13,9 @@ Words are scored once while a worker remembers them. A chain is cut into stretch
 product of the transfer matrices of a stretch carries the chances over it exactly, so a very long text takes
 no longer for its length than many short ones.
 
+A run of more than ``LONG`` bytes without white space is cut into pieces, each a step of the chain like a word, in
+training and labelling alike, so every byte of a text without spaces counts.
+
 A null text, and one without a letter, is ``und`` with score 0; so is every text if no row could be learned
 from. Ties between languages go to the alphabetically first. Repeated rows and ids are judged each.
 """
@@ -36,21 +39,37 @@ ROWS, WORDS = 500, 120
 FEATURES = 1 << 16
 #: Words of a training sequence, made of runs of RUN words on average; passes over the sample; penalty and step.
 SEQUENCE, RUN, EPOCHS, PENALTY, STEP = 60, 20, 6, 1e-4, 0.3
-#: Words of a stretch, bytes of a long word and features of a word at most, words that a worker remembers.
+#: Words of a stretch, bytes of a word before it is cut and usual features of a word at most, words that a worker remembers.
 STRETCH, LONG, MOST, MEMO = 128, 36, 48, 400_000
 SIGNS = ".,;:!?\"'()[]#*$%&|<>-"
 UNKNOWN = "und"
 
 
+def pieces(words: list[bytes]) -> list[bytes]:
+    """The words, with those of more than LONG bytes cut into pieces of LONG bytes at most between characters; in
+    text without spaces a word may be a sentence or a whole document."""
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    out = []
+    for word in words:
+        at = 0
+        while len(word) - at > LONG:
+            end = at + LONG
+            while end > at + LONG - 4 and word[end] & 0xC0 == 0x80:  # inside a character
+                end -= 1
+            out.append(word[at:end])
+            at = end
+        out.append(word[at:])
+    return out
+
+
 def plain(word: bytes) -> bytes:
-    """Small letters without signs around them; empty for a word without a letter. Of a word of more than LONG
-    bytes, both ends count."""
+    """Small letters without signs around them; empty for a word without a letter."""
     text = word.decode("utf-8", "replace")
     low = text.lower()
     if low == text.upper() and not any(map(str.isalpha, text)):
         return b""
-    raw = low.strip(SIGNS).encode("utf-8", "replace")
-    return raw if len(raw) <= LONG else raw[: LONG // 2] + raw[-LONG // 2 :]
+    return low.strip(SIGNS).encode("utf-8", "replace")
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +107,9 @@ def table_of(words: list[bytes]) -> np.ndarray:
     number, place = features(words)
     order = np.argsort(number, kind="stable")
     number, place = number[order], place[order]
-    table = np.full((len(words), MOST), FEATURES - 1, "i8")
+    # small letters may take more bytes, so a few pieces have more than MOST features
+    most = max(MOST, int(np.bincount(number).max())) if len(number) else MOST
+    table = np.full((len(words), most), FEATURES - 1, "i8")
     table[number, np.arange(len(number)) - np.searchsorted(number, number)] = place
     return table
 
@@ -109,7 +130,7 @@ class Field:
 
 def train(sample: list[tuple[str, list[str]]], seed: int = 7) -> Field | None:
     """A field from rows of (language, words): stochastic gradient ascent of the log-likelihood."""
-    sample = sorted((lang, words) for lang, words in sample if words)
+    sample = sorted((lang, pieces([w.encode() for w in words])) for lang, words in sample if words)
     languages = sorted({lang for lang, _ in sample})
     if not languages:
         return None
@@ -119,7 +140,7 @@ def train(sample: list[tuple[str, list[str]]], seed: int = 7) -> Field | None:
     places = {lang: i for i, lang in enumerate(languages)}
     words = sorted({w for _, ws in sample for w in ws})
     code = {w: i for i, w in enumerate(words)}
-    table = table_of([plain(w.encode()) for w in words])
+    table = table_of([plain(w) for w in words])
     runs = []
     for lang, ws in sample:
         own = np.array([code[w] for w in ws])
@@ -157,7 +178,7 @@ def train(sample: list[tuple[str, list[str]]], seed: int = 7) -> Field | None:
             both /= both.sum((2, 3), keepdims=True)
             slope_t = -both.sum((0, 1))
             np.add.at(slope_t, (labels[:, :-1], labels[:, 1:]), 1)
-            slope = np.stack([np.bincount(used.ravel(), np.repeat(error[:, :, j].ravel(), MOST), FEATURES) for j in range(k)], 1)
+            slope = np.stack([np.bincount(used.ravel(), np.repeat(error[:, :, j].ravel(), table.shape[1]), FEATURES) for j in range(k)], 1)
             slope[-1] = 0
             touched = np.flatnonzero(slope.any(1))
             slope = slope[touched] - PENALTY * weights[touched]
@@ -251,7 +272,7 @@ class Labeller:
     def label(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         if len(self.memo) > MEMO:
             self.forget()
-        split = [(t or b"").split() for t in texts]
+        split = [pieces((t or b"").split()) for t in texts]
         lengths = np.array([len(w) for w in split], "i8")
         row = self.words([w for words in split for w in words])
         letters = self.letters[row]

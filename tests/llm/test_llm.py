@@ -269,6 +269,24 @@ def test_language_of_mixed_text(spark, empty):
     assert {r.lang_pred for r in langid.labelled(docs, langid.learned(empty, F.lit(True))).collect()} == {"und"}
 
 
+def test_language_inside_long_runs(spark):
+    rng = random.Random(4)
+    letters = {"aa": "天地玄黃宇宙洪荒日月", "bb": "あいうえおかきくけこ"}
+    run = lambda lang, n: "".join(rng.choice(letters[lang]) for _ in range(n))
+    rows = [(i, run(lang, 300), lang, 1, 1, 0.0) for i in range(60) for lang in [("aa", "bb")[i % 2]]]
+    rows += [(100, run("aa", 6) + run("bb", 900) + run("aa", 6), None, 1, 1, 0.0), (101, run("aa", 600) + run("bb", 300), None, 1, 1, 0.0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in langid.labelled(docs, langid.learned(docs, F.col("doc_id") % 5 != 0)).collect()}
+    assert all(got[i].lang_pred == ("aa", "bb")[i % 2] for i in range(0, 60, 5))
+    assert got[100].lang_pred == "bb" and got[100].score > 0.9
+    assert got[101].lang_pred == "aa" and got[101].score == pytest.approx(2 / 3, abs=0.05)
+    for word in ("é日🙂a" * 40, "Ⱥ" * 50, "a" * 200):
+        cut = langid.pieces([b"x", word.encode(), b"\x80" * 90])
+        assert b"".join(cut) == b"x" + word.encode() + b"\x80" * 90 and max(map(len, cut)) <= langid.LONG
+        assert "".join(c.decode() for c in cut[1:] if c[0] != 0x80) == word
+        assert langid.table_of([langid.plain(c) for c in cut]).shape[0] == len(cut)
+
+
 def test_stretches_carry_chances_exactly():
     rng = np.random.default_rng(2)
     lengths = np.array([0, 1, 300, 129, 128, 5])
