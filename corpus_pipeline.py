@@ -21,10 +21,14 @@ MEMO_WORDS = 250_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep texts with a main language; learned from four fifths of the labelled rows, as in the query."""
+    """Keep texts with a main language; learned from four fifths of the labelled rows, as in the query, where rows
+    without an id go by their text. Where nothing can be learned, all texts with letters stay."""
     ship(spark)
-    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
-    found = langid.labelled(docs, langid.learned(docs, ~held_out), lang="__lang_pred", score="__lang_score")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))) % 5 == 0
+    field = langid.learned(docs, ~held_out)
+    if field is None:
+        return docs.where(F.col("text").rlike(r"\p{IsAlphabetic}"))
+    found = langid.labelled(docs, field, lang="__lang_pred", score="__lang_score")
     sure = (F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__lang_score") >= LEAST_SHARE)
     return found.where(sure).drop("__lang_pred", "__lang_score")
 

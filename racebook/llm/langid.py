@@ -5,8 +5,8 @@ itself (lexicon), its first and last letters (affixes) and its letter pairs and
 neighbouring words are learned too, so a run of foreign words inside a text is found as such. Forward and
 backward passes give each word its chances, and a text the share of each language among its words with letters.
 
-Training takes a bounded sample of labelled rows: for every language an expected ``ROWS`` rows, chosen by hash, and
-``WORDS`` words of each. Runs of words of different rows are joined into short sequences, as in mixed text, so
+Training takes a bounded sample of labelled rows: for every language an expected ``ROWS`` rows that differ in id or
+text, chosen by a hash of both, and ``WORDS`` words of each, or ``CHARACTERS`` characters where these are longer. Runs of words of different rows are joined into short sequences, as in mixed text, so
 transitions are learned from changes of language too. All else covers every row and every word.
 
 Words are scored once while a worker remembers them. A chain is cut into stretches that run side by side: the
@@ -33,8 +33,8 @@ from pyspark.sql.types import StructType
 
 from racebook.llm.common import in_blocks, rows
 
-#: Expected labelled rows of a language in the training sample, and words taken of each.
-ROWS, WORDS = 500, 120
+#: Expected labelled rows of a language in the training sample, words taken of each, and characters of these at most.
+ROWS, WORDS, CHARACTERS = 500, 120, 2160
 #: Weights are kept for this many hashed features; the last place is no feature.
 FEATURES = 1 << 16
 #: Words of a training sequence, made of runs of RUN words on average; passes over the sample; penalty and step.
@@ -294,15 +294,17 @@ class Labeller:
 def learned(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_each: int = ROWS) -> Field | None:
     """Train on a sample of the rows where ``may_learn`` holds and text and language are given."""
     own = docs.select(may_learn.alias("may"), F.col(id_col).alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("may and text is not null and lang is not null")
-    seen = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    own = own.withColumn("place", F.xxhash64(F.lit("place"), "key", "text"))
+    seen = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}  # one row a language
     if not seen:
         return None
-    part = F.create_map(*[F.lit(x) for lang, n in sorted(seen.items()) for x in (lang, min(1.0, rows_each / n))])[F.col("lang")]
-    chosen = own.where(F.pmod(F.xxhash64(F.lit("learn"), "key"), F.lit(1 << 30)) < part * (1 << 30))
+    part = F.create_map(*[F.lit(x) for lang, n in sorted(seen.items()) for x in (lang, min(1.0, rows_each / max(1, n)))])[F.col("lang")]
+    chosen = own.where(F.pmod(F.xxhash64(F.lit("learn"), "key", "text"), F.lit(1 << 30)) < part * (1 << 30))
     words = F.split(F.trim(F.regexp_replace("text", r"[ \t-\r]+", " ")), " ")
-    first = F.pmod(F.xxhash64(F.lit("place"), "key"), F.greatest(F.lit(1), F.size("words") - WORDS + 1)) + 1
-    taken = chosen.select("lang", "key", words.alias("words")).select("lang", F.slice("words", first.cast("int"), F.lit(WORDS)).alias("words"))
-    return train([(r["lang"], [w for w in r["words"] if w]) for r in taken.toLocalIterator()])
+    begin = lambda n, of: (F.pmod("place", F.greatest(F.lit(1), n - of + 1)) + 1).cast("int")
+    some = chosen.select("lang", "key", "place", words.alias("words")).select("lang", "key", "place", F.array_join(F.slice("words", begin(F.size("words"), WORDS), F.lit(WORDS)), " ").alias("some"))
+    taken = some.select("lang", "key", "place", F.substring("some", begin(F.length("some"), CHARACTERS), F.lit(CHARACTERS)).alias("some")).distinct()
+    return train([(r["lang"], [w for w in r["some"].split(" ") if w]) for r in taken.toLocalIterator()])
 
 
 def labelled(docs: DataFrame, field: Field | None, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -287,6 +287,24 @@ def test_language_inside_long_runs(spark):
         assert langid.table_of([langid.plain(c) for c in cut]).shape[0] == len(cut)
 
 
+def test_language_sample_of_shared_ids(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(None, prose(rng, 40), "aa", 1, 1, 0.0) for _ in range(400)] + [(7, "日" * 30000 + str(i), "bb", 1, 1, 0.0) for i in range(400)]
+    rows += [(None, "the same text again", "cc", 1, 1, 0.0)] * 400
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = []
+    monkeypatch.setattr(langid, "train", taken.extend)
+    langid.learned(docs, F.lit(True), rows_each=40)
+    sizes = collections.Counter(lang for lang, _ in taken)
+    assert 15 <= sizes["aa"] <= 80 and 15 <= sizes["bb"] <= 80 and sizes["cc"] == 1
+    assert max(sum(map(len, words)) for _, words in taken) <= langid.CHARACTERS
+    monkeypatch.undo()
+    kept = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")).unionByName(spark.createDataFrame([(1, "12 !", None, 1, 1, 0.0)], DOCS)), "")
+    assert kept.count() == len(rows)
+
+
 def test_stretches_carry_chances_exactly():
     rng = np.random.default_rng(2)
     lengths = np.array([0, 1, 300, 129, 128, 5])
