@@ -58,7 +58,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens."""
     ship(spark)
-    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, memo_words=MEMO_WORDS)
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, memo_words=MEMO_WORDS, added_tokens=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

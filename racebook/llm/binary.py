@@ -56,7 +56,7 @@ def read_shard(path: str) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if m else k for k, m in zip(keys.tolist(), missing.tolist(), strict=True)], offsets, ids
 
 
-def write_binary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_binary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Encode and write; the manifest has one row a shard: shard, path, n_docs, n_tokens, base (ids before it)."""
     spark = docs.sparkSession
     folder = made_folder(spark, "token-ids")
@@ -66,7 +66,7 @@ def write_binary(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, added_tokens=added_tokens)
         width = 2 if max(len(encoder.ends_word) - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
         keys, lengths, ids = [], [], []

@@ -89,7 +89,7 @@ def pieces(doc_ends: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     return [doc, begin - doc_begin[doc], length, sequence, begin - cuts[sequence]]
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", memo_words: int = MEMO_WORDS, added_tokens: bool = False) -> DataFrame:
     """One row a piece, with its ids as little-endian unsigned 32-bit integers. Sequence ids hold the shard in
     their upper bits, so no shard waits for the others. A worker remembers ``memo_words`` words, which changes no result."""
     few = id_and_text(docs, id_col, text_col)
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = encoder_of(tokenizer, memo_words)
+        encoder = encoder_of(tokenizer, memo_words, added_tokens)
         stops = np.zeros(max(len(encoder.ends_word), end_id + 1), bool)
         stops[encoder.sentence_ends()] = True
         end = np.array([end_id], "<u4").tobytes()

@@ -56,7 +56,7 @@ def op1_warc(pages: DataFrame) -> DataFrame:
 
 @query("op2_packing", "documents")
 def op2_packing(documents: DataFrame) -> DataFrame:
-    pieces = packing.pack(documents, public_tokenizers.path(WORDS), end_id=2)
+    pieces = packing.pack(documents, public_tokenizers.path(WORDS), end_id=2, added_tokens=True)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -82,7 +82,7 @@ def op5_suffix_array(documents: DataFrame) -> DataFrame:
 
 @query("op6_token_files", "documents")
 def op6_token_files(documents: DataFrame) -> DataFrame:
-    return binary.read_binary(binary.write_binary(documents, public_tokenizers.path(WORDS), end_id=1))
+    return binary.read_binary(binary.write_binary(documents, public_tokenizers.path(WORDS), end_id=1, added_tokens=True))
 
 
 @query(

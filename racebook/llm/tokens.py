@@ -3,6 +3,9 @@
 The tokenizer drops white space and never joins characters across it, so the ids of a text are the
 ids of its words in a row. Each worker keeps the ids of the words it has met, up to a bound; the
 ``tokenizers`` library encodes the words that are new, many at a time.
+
+Strings of the vocabulary's added tokens (``<|endoftext|>``) in a text are ordinary text, or, with
+``added_tokens``, those tokens, as in the library's plain call; texts that hold one then go through the library whole.
 """
 
 from __future__ import annotations
@@ -29,9 +32,9 @@ LETTERS_THEN_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*
 
 
 @functools.cache
-def encoder_of(path: str, memo_words: int = MEMO_WORDS) -> WordEncoder:
+def encoder_of(path: str, memo_words: int = MEMO_WORDS, added_tokens: bool = False) -> WordEncoder:
     """One encoder a worker, which lives on from task to task."""
-    return WordEncoder(path, memo_words)
+    return WordEncoder(path, memo_words, added_tokens)
 
 
 @contextlib.contextmanager
@@ -51,12 +54,18 @@ def collector_off() -> Iterator[None]:
 class WordEncoder:
     """Texts as bytes -> their ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # their strings in a word are ordinary text
+        self.added: list[bytes] = []
+        if added_tokens:
+            self.whole = Tokenizer.from_file(path)
+            found = self.whole.get_added_tokens_decoder().values()
+            # what is matched after the text was normalised may look different in it: then every text goes whole
+            self.added = [b"" if t.normalized else t.content.encode() for t in found]
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -120,6 +129,14 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        whole = {i: t for i, t in enumerate(texts) if t and any(a in t for a in self.added)} if self.added else {}
+        out = self._by_word([None if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        for i, t in whole.items():
+            ids = self.whole.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def _by_word(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self.memo) > self.memo_words // 2:
             self.memo, self.older = {}, self.memo
         split = [(t or b"").split() for t in texts]

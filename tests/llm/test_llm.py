@@ -94,6 +94,22 @@ def test_pieces_cover_every_document_once(docs, empty):
     assert b"".join(x for _, x in own) == np.array(reference_ids(single.text) + [2], "<u4").tobytes()
 
 
+def test_strings_of_added_tokens(spark):
+    import corpus_pipeline
+    from racebook.llm import plans
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    texts = ["hello <|endoftext|> world", "hello<|startoftext|>It's<|endoftext|><|endoftext|>", "hello <|ENDOFTEXT|> world", "plain words", "", None, "Ünï <|endoftext|>\n 日本"]
+    want = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert want[0] == [3306, 49407, 1002]
+    docs = spark.createDataFrame([(i, t, "en", 1, 2, 0.5) for i, t in enumerate(texts)], DOCS)
+    files = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in plans.op6_token_files(docs).collect()}
+    assert files == {i: (len(x) + 1, zlib.crc32(np.array([*x, 1], "<u4").tobytes())) for i, x in want.items()}
+    for packed in (plans.op2_packing(docs), corpus_pipeline.packed(spark, docs, "")):
+        assert {r.doc_id: r.doc_tokens for r in packed.collect()} == {i: len(x) + 1 for i, x in want.items()}
+
+
 def test_cuts_cost_least():
     rng = random.Random(3)
     for _ in range(60):
