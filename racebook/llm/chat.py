@@ -9,7 +9,8 @@ that many conversations share counts once.
 
 A long conversation is never one group: turns are summed by (conversation, turn), then by stretches of turns,
 and only the sums of stretches run in one window per conversation. The rendered text comes in parts of
-``PART`` turns.
+``PART`` turn numbers, as the check SQL says. A part is bounded only as far as the rows of a turn number are: a
+conversation with very many distinct rows at few turns, or at none, is one array and one text.
 
 A row that repeats another in all four columns counts once. Several texts at one turn stand in the order of role
 and text. A null turn comes first; a null role is written ``unknown``, a null text is empty, yet both differ from
