@@ -70,7 +70,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Stages learn models and packing optimises; tests hold run() against a brute-force version.
+#: Stages learn models and packing optimises, so there is no SQL. Tests run the stages one by one and check ids,
+#: copies and token counts; none holds run() against a brute-force version yet.
 ORACLE_SQL = None
 
 
