@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racebook.llm import binary, bpe, chat, jaccard, langid, packing, quality, suffix, topk, warc
+from racebook.llm import binary, bpe, chat, jaccard, langid, lines, packing, quality, suffix, topk, warc
 from racebook.llm.common import ship, stored
 from racebook.sources.tables import read_table
 
@@ -135,3 +135,25 @@ def op9_topk(embeddings: DataFrame) -> DataFrame:
 @query("op10_bpe", "documents")
 def op10_bpe(documents: DataFrame) -> DataFrame:
     return bpe.round_trip(documents, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query(
+    "op11_line_dedup",
+    "documents",
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM d),
+    k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+    c AS (SELECT key, max(doc_id) AS keeper FROM (SELECT DISTINCT key, doc_id FROM k WHERE length(key) >= 20)
+      GROUP BY key HAVING count(*) >= 3),
+    m AS (SELECT k.*, c.key IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone FROM k LEFT JOIN c ON k.key = c.key)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+    FROM m GROUP BY r
+    """,
+)
+def op11_line_dedup(documents: DataFrame) -> DataFrame:
+    out = lines.without_common_lines(documents.select("doc_id", "text"))
+    kept = F.sha2(F.col(lines.OWN + "kept"), 256).alias("kept_sha256")
+    return out.select("doc_id", F.col(lines.OWN + "n_lines").alias("n_lines"), F.col(lines.OWN + "n_dropped").alias("n_dropped"), kept)
