@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racebook.llm import binary, bpe, chat, jaccard, langid, lines, packing, quality, suffix, topk, warc
+from racebook.llm import binary, bpe, chat, jaccard, langid, lines, packing, quality, suffix, topk, warc, whitening
 from racebook.llm.common import ship, stored
 from racebook.sources.tables import read_table
 
@@ -157,3 +157,8 @@ def op11_line_dedup(documents: DataFrame) -> DataFrame:
     out = lines.without_common_lines(documents.select("doc_id", "text"))
     kept = F.sha2(F.col(lines.OWN + "kept"), 256).alias("kept_sha256")
     return out.select("doc_id", F.col(lines.OWN + "n_lines").alias("n_lines"), F.col(lines.OWN + "n_dropped").alias("n_dropped"), kept)
+
+
+@query("op12_whitening", "embeddings")
+def op12_whitening(embeddings: DataFrame) -> DataFrame:
+    return whitening.whiten(embeddings, k=4, scale=256).withColumn("deviation", F.col("deviation").cast("long"))
