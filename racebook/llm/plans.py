@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from racebook.llm import binary, bpe, chat, jaccard, langid, lines, packing, quality, suffix, topk, warc, whitening
+from racebook.llm import binary, bpe, chat, jaccard, langid, lexical, lines, packing, quality, suffix, topk, warc, whitening
 from racebook.llm.common import ship, stored
 from racebook.sources.tables import read_table
 
@@ -19,13 +19,13 @@ ORACLES: dict[str, str] = {}
 WORDS, RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(table) -> DataFrame``."""
+def query(name: str, table: str, sql: str | None = None, other: tuple[str, ...] = ()):
+    """Register ``fn(table, *other tables) -> DataFrame``."""
 
-    def wrap(fn: Callable[[DataFrame], DataFrame]):
+    def wrap(fn: Callable[..., DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
-            return fn(read_table(spark, sf_dir, table))
+            return fn(*[read_table(spark, sf_dir, t) for t in (table, *other)])
 
         QUERIES[name] = run
         if sql is not None:
@@ -162,3 +162,31 @@ def op11_line_dedup(documents: DataFrame) -> DataFrame:
 @query("op12_whitening", "embeddings")
 def op12_whitening(embeddings: DataFrame) -> DataFrame:
     return whitening.whiten(embeddings, k=4, scale=256).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query(
+    "op13_lexical_search",
+    "documents",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+    e AS (SELECT r, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    tf AS MATERIALIZED (SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM e GROUP BY r, term),
+    n AS MATERIALIZED (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+    g AS MATERIALIZED (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM n),
+    w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+      FROM tf CROSS JOIN g GROUP BY term, docs),
+    b AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    i AS (SELECT DISTINCT item_id, term FROM b),
+    s AS (SELECT item_id, r, any_value(doc_id) AS doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // len))))::BIGINT AS score
+      FROM i JOIN tf USING (term) JOIN w USING (term) JOIN n USING (r) CROSS JOIN g GROUP BY item_id, r),
+    k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+      FROM s WHERE score > 0)
+    SELECT * FROM k WHERE rank <= 10
+    """,
+    other=("benchmark",),
+)
+def op13_lexical_search(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return lexical.rank(documents, benchmark, k=10)
