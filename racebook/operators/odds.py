@@ -71,11 +71,10 @@ def target_combos(tickets: DataFrame, results: DataFrame) -> DataFrame:
     return first_per_key(proposed.unionByName(actual), KEY, ["source"]).drop("source")
 
 
-def rollup(samples: DataFrame, tickets: DataFrame, results: DataFrame, tie: str | None = "arrival") -> DataFrame:
-    """Odds summary of the target combinations of finished races."""
+def summary_rows(series: DataFrame, tickets: DataFrame, results: DataFrame) -> DataFrame:
+    """Summary rows of the target combinations of finished races, from one row a (race, combination)."""
     finished = results.select("race_key", "actual_combo")
     targets = target_combos(tickets, results).join(finished, "race_key")
-    series = summarise_series(valid_odds(samples), tie)
     return series.join(targets, KEY).select(
         *KEY,
         "was_purchased",
@@ -96,6 +95,66 @@ def rollup(samples: DataFrame, tickets: DataFrame, results: DataFrame, tie: str
     )
 
 
+def rollup(samples: DataFrame, tickets: DataFrame, results: DataFrame, tie: str | None = "arrival") -> DataFrame:
+    """Odds summary of the target combinations of finished races."""
+    return summary_rows(summarise_series(valid_odds(samples), tie), tickets, results)
+
+
+def series_state(samples: DataFrame, tie: str = "arrival") -> DataFrame:
+    """What has to be kept of samples so that later ones can be added: first and last price with their places in the
+    order of samples, extremes, number and times."""
+    order = sample_order(tie)
+    return valid_odds(samples).groupBy(*KEY).agg(
+        F.min(order).alias("first_order"),
+        F.min_by("odds", order).alias("odds_at_lock"),
+        F.max(order).alias("last_order"),
+        F.max_by("odds", order).alias("odds_final"),
+        F.min("odds").alias("odds_min"),
+        F.max("odds").alias("odds_max"),
+        F.count("odds").alias("n_samples"),
+        F.min("fetched_at").alias("first_at"),
+        F.max("fetched_at").alias("last_at"),
+    )
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """One state per (race, combination): that of all samples together, however they were divided and in any order."""
+    return states.groupBy(*KEY).agg(
+        F.min("first_order").alias("first_order"),
+        F.min_by("odds_at_lock", "first_order").alias("odds_at_lock"),
+        F.max("last_order").alias("last_order"),
+        F.max_by("odds_final", "last_order").alias("odds_final"),
+        F.min("odds_min").alias("odds_min"),
+        F.max("odds_max").alias("odds_max"),
+        F.sum("n_samples").alias("n_samples"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+    )
+
+
+def added_summaries(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """Summary rows of two runs as those of one; of equal times the earlier run's price is first, the later run's last."""
+    both = earlier.withColumn("_run", F.lit(0)).unionByName(later.withColumn("_run", F.lit(1)))
+    facts = ["was_purchased", "stake", "ticket_group", "is_hit", "ai_prob"]
+    out = both.groupBy(*KEY).agg(
+        *[F.max_by(c, "_run").alias(c) for c in facts],
+        F.min_by("odds_at_lock", F.struct("first_at", "_run")).alias("odds_at_lock"),
+        F.max_by("odds_final", F.struct("last_at", "_run")).alias("odds_final"),
+        F.min("odds_min").alias("odds_min"),
+        F.max("odds_max").alias("odds_max"),
+        F.sum("n_samples").alias("n_samples"),
+        F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"),
+    )
+    return out.withColumns(
+        {
+            "odds_drift": F.try_divide("odds_final", "odds_at_lock"),
+            "ev_at_lock": F.col("ai_prob") * F.col("odds_at_lock"),
+            "ev_final": F.col("ai_prob") * F.col("odds_final"),
+        }
+    ).select(*earlier.columns)
+
+
 def asof_lock(samples: DataFrame, locks: DataFrame, tie: str | None = "arrival") -> DataFrame:
     """Last odds at or before the time the prediction was frozen, beside the first sample."""
     order = sample_order(tie)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from racebook import constants as K
 from racebook.operators import features, joins, verify
-from racebook.plans.odds import TARGETS_SQL
+from racebook.plans.odds import SERIES_SQL, TARGETS_SQL
 from racebook.plans.race import FEATURE_SQL, card, p_sql
 from racebook.plans.registry import R6, query, r6, rounded
 from racebook.schemas import HISTORY, RESULTS, conform
 from racebook.session import fresh_path
 from racebook.sources import stores
+from racebook.sources.archive import OddsArchive
+from racebook.sources.versioned import Table
 
 
 def result_rows(t):
@@ -319,11 +319,13 @@ def export_tickets_csv(t):
 )
 def upsert_last_wins(t):
     value = F.floor("o_totalprice")
-    table = t.orders.select(F.col("o_orderkey").alias("race_key"), value.alias("payout"), F.lit(1).alias("seq"))
+    rows = t.orders.select(F.col("o_orderkey").alias("race_key"), value.alias("payout"), F.lit(1).alias("seq"))
+    table = Table.create(rows, fresh_path(t.spark, "payouts"), ["race_key"])
     changes = t.orders.filter("o_orderstatus <> 'F'").select(
         F.col("o_orderkey").alias("race_key"), (value * 2).alias("payout"), F.lit(2).alias("seq")
     )
-    return stores.upsert(table, changes, ["race_key"], "seq")
+    table.upsert(changes, "seq")
+    return table.read()
 
 
 @query(
@@ -338,12 +340,16 @@ def insert_if_absent(t):
 
 @query(
     "delete_by_key",
-    "SELECT o_orderkey AS race_key, o_totalprice AS total FROM {orders} WHERE o_orderstatus <> 'P'",
+    """SELECT o_orderkey AS race_key, o_totalprice AS total, (SELECT count(*) FROM {orders} WHERE o_orderstatus = 'P') AS n_removed
+FROM {orders} WHERE o_orderstatus <> 'P'""",
 )
 def delete_by_key(t):
-    table = t.orders.select(F.col("o_orderkey").alias("race_key"), F.col("o_totalprice").alias("total"))
+    """A stored table without the deleted keys, and how many rows the deletion took away."""
+    rows = t.orders.select(F.col("o_orderkey").alias("race_key"), F.col("o_totalprice").alias("total"))
+    table = Table.create(rows, fresh_path(t.spark, "orders"), ["race_key"])
     gone = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("race_key"))
-    return stores.delete_by_key(table, gone, ["race_key"])
+    removed = table.delete(gone)
+    return table.read().withColumn("n_removed", F.lit(removed).cast("long"))
 
 
 @query(
@@ -370,32 +376,34 @@ def snapshot_first_wins(t):
 @query(
     "prune_rolled_up",
     """SELECT race_key, combo, odds, fetched_at, arrival FROM {odds_samples}
-WHERE CAST(fetched_at AS DATE) >= DATE '2024-01-25' - 7 OR race_key NOT IN (SELECT race_key FROM {odds_results})""",
+WHERE race_key NOT IN (SELECT race_key FROM {odds_samples} GROUP BY race_key HAVING max(fetched_at) < DATE '2024-02-06' - 7)
+  OR race_key NOT IN (SELECT race_key FROM {odds_results})""",
 )
 def prune_rolled_up(t):
-    _, remaining = stores.rollup_then_prune(t.odds_samples, t.odds_tickets, t.odds_results, "2024-01-25", whole_races=False)
-    return remaining
+    """Finished races whose newest sample is older than a week go whole; all others stay whole."""
+    archive = OddsArchive.create(t.odds_samples, fresh_path(t.spark, "odds-archive"))
+    archive.roll_up(t.odds_tickets, t.odds_results, "2024-02-06")
+    return archive.samples.read()
 
 
 @query(
     "rollup_cycle",
-    f"""WITH s AS (SELECT *, CASE WHEN CAST(fetched_at AS DATE) < DATE '2024-01-20' - 7 THEN 1 ELSE 2 END AS run FROM {{odds_samples}}
-  WHERE odds >= 1 AND CAST(fetched_at AS DATE) < DATE '2024-01-25' - 7),
-{TARGETS_SQL},
-g AS (SELECT race_key, combo, run, arg_min(odds, (fetched_at, arrival)) AS odds_at_lock, arg_max(odds, (fetched_at, arrival)) AS odds_final,
-  count(*) AS n_samples, min(fetched_at) AS first_at, max(fetched_at) AS last_at FROM s GROUP BY ALL)
-SELECT g.race_key, g.combo, t.stake, t.ticket_group, g.combo = r.actual_combo AS is_hit, odds_at_lock, odds_final, n_samples, first_at, last_at
-FROM g JOIN targets t ON t.race_key = g.race_key AND t.combo = g.combo JOIN {{odds_results}} r ON r.race_key = g.race_key
-WHERE run = (SELECT max(run) FROM g AS x WHERE x.race_key = g.race_key AND x.combo = g.combo)""",
+    f"""WITH {SERIES_SQL}, {TARGETS_SQL}
+SELECT s.race_key, s.combo, t.stake, t.ticket_group, s.combo = r.actual_combo AS is_hit, odds_at_lock, odds_final, odds_min, odds_max,
+  {R6('odds_final / odds_at_lock')} AS odds_drift, CAST(n_samples AS BIGINT) AS n_samples, first_at, last_at
+FROM series s JOIN targets t ON t.race_key = s.race_key AND t.combo = s.combo JOIN {{odds_results}} r ON r.race_key = s.race_key""",
 )
 def rollup_cycle(t):
-    """Two nightly runs and one that finds nothing new; by the time of each sample, as the check SQL says."""
-    by_sample = partial(stores.rollup_then_prune, tickets=t.odds_tickets, results=t.odds_results, whole_races=False)
-    first, left = by_sample(t.odds_samples, as_of="2024-01-20")
-    left = stores.store(left, "odds-samples")
-    second, rest = by_sample(left, as_of="2024-01-25", summary=first)
-    rest = stores.store(rest, "odds-samples")
-    again, _ = by_sample(rest, as_of="2024-01-25", summary=second)
-    return again.select(
-        "race_key", "combo", "stake", "ticket_group", "is_hit", "odds_at_lock", "odds_final", "n_samples", "first_at", "last_at"
+    """Four nightly runs, with samples that come after their race was rolled up and a last run that finds nothing new:
+    the summary is that of all raw samples at once."""
+    tickets, results = t.odds_tickets, t.odds_results
+    early = F.col("fetched_at") < F.lit("2024-01-15").cast("timestamp_ntz")
+    archive = OddsArchive.create(t.odds_samples.filter(early), fresh_path(t.spark, "odds-archive"))
+    archive.roll_up(tickets, results, "2024-01-21")
+    archive.add(t.odds_samples.filter(~early | F.col("fetched_at").isNull()))
+    for as_of in ("2024-02-06", "2024-03-01", "2024-03-02"):
+        archive.roll_up(tickets, results, as_of)
+    return rounded(archive.summary(tickets, results), "odds_drift").select(
+        "race_key", "combo", "stake", "ticket_group", "is_hit", "odds_at_lock", "odds_final", "odds_min", "odds_max",
+        "odds_drift", "n_samples", "first_at", "last_at",
     )

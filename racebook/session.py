@@ -36,12 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session without the setting gets a folder of its own; on a cluster a
     machine-local folder would be lost with its executor, so the setting is required there.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        path = tempfile.mkdtemp(prefix="racebook-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="racebook-"))  # the session's setting is fixed by now
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 

@@ -1,7 +1,7 @@
 """Table writes as set operations: upsert, insert-if-absent, delete, roll-up before prune.
 
-Tables are plain Parquet, written to a new path and then read back; where a table format with
-``MERGE INTO`` is installed the same keys and orders apply.
+These work on any DataFrame and give a new one. ``versioned`` has the same changes for stored tables, which rewrite
+only what they touch, and ``archive`` the roll-up of a stored table of samples.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from racebook.operators.joins import first_per_key, last_per_key
-from racebook.operators.odds import of_races, older, outdated_races, prune, rollup, without_races
+from racebook.operators.odds import added_summaries, of_races, outdated_races, rollup, without_races
 from racebook.session import fresh_path
 
 
@@ -61,26 +61,19 @@ def rollup_then_prune(
     as_of: str,
     days: int = 7,
     summary: DataFrame | None = None,
-    whole_races: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Stored summary and the remaining raw samples.
+    """Stored summary and the remaining raw samples, for tables that are no ``OddsArchive``.
 
     Finished races whose newest sample is older than the retention period are rolled up and pruned
-    as a whole; a race with later samples waits. The roll-up replaces rows of an earlier ``summary``
-    with the same race and combination. Raw rows go only after the summary has been written; a
+    as a whole, samples without a time among them; a race with later samples waits. Rows are added to those of an
+    earlier ``summary`` with the same race and combination. Raw rows go only after the summary has been written; a
     failed write leaves them for the next run. A finished race without any target is pruned as well.
-
-    Without ``whole_races`` the time of each sample decides: a race may then go in parts, and the
-    summary of a later part replaces that of the earlier one.
     """
-    if whole_races:
-        races = outdated_races(samples, results, as_of, days)
-        due, left = of_races(samples, races), without_races(samples, races)
-    else:
-        due, left = older(samples, as_of, days), prune(samples, results, as_of, days)
+    races = outdated_races(samples, results, as_of, days)
+    due, left = of_races(samples, races), without_races(samples, races)
     new = rollup(due, tickets, results)
     if summary is not None:
-        new = new.unionByName(summary.join(new.select("race_key", "combo"), ["race_key", "combo"], "left_anti"))
+        new = added_summaries(summary, new)
     return store(new, "odds_summary"), left
 
 
