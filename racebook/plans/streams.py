@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from racebook.functions.scalars import instant, utc
 from racebook.operators import odds
 from racebook.plans.registry import query
+from racebook.session import fresh_path
+from racebook.streaming import lifecycle
 from racebook.streaming import odds as stream
+from racebook.streaming.quarantine import Intake
 
 
 def samples(t):
@@ -87,3 +90,38 @@ def stream_result_join(t):
     joined = stream.results_in_time(frozen.withWatermark("saved_at", "10 minutes"), results.withWatermark("result_ts", "10 minutes"))
     out = stream.drain(joined, "results-in-time")
     return out.select("race_key", at("saved_at"), at("result_ts"))
+
+
+@query(
+    "stream_lifecycle_timers",
+    """WITH w AS (SELECT race_key, deadline, deadline + INTERVAL 120 MINUTE AS wait_end FROM {watchlist}),
+f AS (SELECT w.race_key, deadline, wait_end, min(fetched_at) AS created_at, min(fetched_at) FILTER (WHERE combo = 'purchase') AS snapshot_at,
+    min(fetched_at) FILTER (WHERE combo = 'error' AND fetched_at >= deadline) AS result_at
+  FROM {odds_samples} s JOIN w ON w.race_key = s.race_key WHERE fetched_at <= wait_end GROUP BY ALL),
+m AS (SELECT race_key, 'ACTIVE' AS state, created_at AS moved_at FROM f
+  UNION ALL SELECT race_key, CASE WHEN coalesce(snapshot_at <= deadline, false) THEN 'WAIT_RESULT' ELSE 'DONE' END, greatest(deadline, created_at) FROM f
+  UNION ALL SELECT race_key, CASE WHEN result_at <= wait_end THEN 'DONE' ELSE 'TIMEOUT' END, least(wait_end, coalesce(result_at, wait_end))
+    FROM f WHERE snapshot_at <= deadline)
+SELECT race_key, state, moved_at FROM m WHERE moved_at <= (SELECT max(s.fetched_at) - INTERVAL 10 MINUTE FROM {odds_samples} s JOIN w ON w.race_key = s.race_key)""",
+)
+def stream_lifecycle_timers(t):
+    watch = t.watchlist.select("race_key", instant(F.col("deadline")).alias("deadline"))
+    out = stream.drain(lifecycle.transitions(samples(t), watch, "purchase", "error"), "lifecycle-moves")
+    return out.select("race_key", "state", at("at").alias("moved_at"))
+
+
+@query(
+    "stream_quarantine",
+    """SELECT race_key, combo, greatest(odds, 1) AS odds, fetched_at, bool_or(odds < 1) OVER (PARTITION BY race_key) AS replayed,
+  (SELECT count(*) FROM {odds_samples} WHERE race_key IN (SELECT race_key FROM {odds_samples} WHERE odds < 1)) AS n_held
+FROM {odds_samples}""",
+)
+def stream_quarantine(t):
+    """Races with an impossible price are held while the others are stored, then replayed with the price raised to 1."""
+    price = F.when(F.col("odds") >= 1, None).otherwise("odds below 1")
+    intake = Intake(t.spark, fresh_path(t.spark, "intake"), price)
+    intake.run(samples(t))
+    held = sum(intake.held.row_counts().values())
+    intake.replay(lambda rows: rows.withColumn("odds", F.greatest("odds", F.lit(1.0))))
+    out = intake.stored.read().select("race_key", "combo", "odds", at("fetched_at"), "replayed")
+    return out.withColumn("n_held", F.lit(held).cast("long"))

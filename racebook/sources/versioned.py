@@ -151,9 +151,10 @@ class Table:
         m = self.manifest(base)
         self._commit(base, m | {"notes": m["notes"] | notes})
 
-    def append(self, rows: DataFrame, notes: dict | None = None) -> None:
-        """Add rows as they are; files that are there stay. The files are written once, also where another writer comes first."""
-        base = self.version()
+    def append(self, rows: DataFrame, notes: dict | None = None, after: int | None = None) -> None:
+        """Add rows as they are; files that are there stay. The files are written once, also where another writer comes
+        first. With ``after``, nobody may have come after that version."""
+        base = self.version() if after is None else after
         m = self.manifest(base)
         new = self._written(rows, m)
         while True:
@@ -162,6 +163,8 @@ class Table:
                 folders.setdefault(b, []).append(folder)
             if self._publish(base + 1, m | {"folders": folders, "notes": m["notes"] | (notes or {})}):
                 return
+            if after is not None:
+                raise VersionConflict(f"{self.root}: version {base + 1}")
             base = self.version()
             m = self.manifest(base)
 
@@ -185,10 +188,13 @@ class Table:
 
     def insert_if_absent(self, rows: DataFrame, order: list[str], notes: dict | None = None) -> None:
         """The first row in ``order`` of every key that the table does not hold; reads the keys of touched buckets alone."""
-        m = self.manifest()
-        first = first_per_key(rows, m["keys"], order).select(*StructType.fromJson(json.loads(m["schema"])).names)
-        held = self._rows(m, self._touched(first, m)).select(*m["keys"])
-        self.append(first.join(held, m["keys"], "left_anti"), notes)
+        base = self.version()
+        m = self.manifest(base)
+        first = first_per_key(rows, m["keys"], order).select(*StructType.fromJson(json.loads(m["schema"])).names).persist()
+        held = self._rows(m, self._touched(first, m)).select(*[F.col(k).alias(f"held_{k}") for k in m["keys"]])
+        same = [F.col(k).eqNullSafe(F.col(f"held_{k}")) for k in m["keys"]]
+        self.append(first.join(held, same, "left_anti"), notes, after=base)
+        first.unpersist()
         self.compact()
 
     def delete(self, gone: DataFrame, on: list[str] | None = None, notes: dict | None = None, at: int | None = None) -> int:

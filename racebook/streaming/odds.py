@@ -17,6 +17,7 @@ from racebook.functions.scalars import instant
 from racebook.operators.joins import first_per_key, last_per_key, salted_join
 from racebook.operators.odds import sample_order, valid_odds
 from racebook.session import fresh_path
+from racebook.sources.versioned import Table
 
 
 def sample_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -51,11 +52,13 @@ def drain(stream: DataFrame, name: str, mode: str = "append", partition_by: list
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def drain_batches(stream: DataFrame, name: str, mode: str, write: Callable[[DataFrame, int], None]) -> None:
-    """Run the stream and hand every micro-batch to ``write``."""
+def drain_batches(
+    stream: DataFrame, name: str, mode: str, write: Callable[[DataFrame, int], None], progress: str | None = None
+) -> None:
+    """Run the stream and hand every micro-batch to ``write``; with a ``progress`` folder a later run goes on from there."""
     (
         stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", fresh_path(stream.sparkSession, name + "-state"))
+        .option("checkpointLocation", progress or fresh_path(stream.sparkSession, name + "-state"))
         .foreachBatch(write)
         .trigger(availableNow=True)
         .start()
@@ -118,19 +121,32 @@ def run_lifecycle(samples: DataFrame, snapshot: str, result: str) -> DataFrame:
     return last_per_key(spark.read.parquet(out), ["race_key"], ["version"]).drop("version")
 
 
-def run_first_wins(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """First sample per key; a key that is stored already stays as it is."""
-    spark, out = samples.sparkSession, fresh_path(samples.sparkSession, "first-wins")
+def run_first_wins(samples: DataFrame, keys: list[str], root: str | None = None, buckets: int = 16) -> DataFrame:
+    """First sample per key; a key that is stored already stays as it is.
+
+    A micro-batch is first reduced to one row per key, then meets the keys stored in the buckets it touches and
+    adds a folder to those it has something new for; buckets of many folders are compacted. So the work of a batch follows
+    from its keys and their buckets, not from the number of batches before. The table notes the batch it took last:
+    a batch that is run again, and a job that starts again with the same ``root``, add nothing twice.
+    """
+    spark = samples.sparkSession
+    root = root or fresh_path(spark, "first-wins")
+    table = Table(spark, f"{root}/table")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = first_per_key(batch, keys, ["fetched_at", "arrival"])
-        if batch_id > 0:
-            earlier = [f"{out}/version={i}" for i in range(batch_id)]
-            new = new.join(spark.read.parquet(*earlier).select(*keys), keys, "left_anti")
-        new.write.mode("overwrite").parquet(f"{out}/version={batch_id}")
-
-    drain_batches(samples, "first-wins", "append", write)
-    return spark.read.parquet(out).drop("version")
+        if table.version() < 0:
+            Table.create(batch.limit(0), table.root, keys, buckets)
+        if table.notes().get("batch", -1) < batch_id:
+            table.insert_if_absent(batch, ["fetched_at", "arrival"], {"batch": batch_id})
+
+    drain_batches(samples, "first-wins", "append", write, f"{root}/progress")
+    return table.read() if table.version() >= 0 else spark.createDataFrame([], samples.schema)
+
+
+def first_within(samples: DataFrame, keys: list[str], delay: str) -> DataFrame:
+    """One sample per key where copies come at most ``delay`` apart: the state forgets a key after that time, so it
+    is bounded by the rate of keys. The first copy that is met stays."""
+    return samples.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def results_in_time(snapshots: DataFrame, results: DataFrame, minutes: int = K.RESULT_WAIT_MINUTES) -> DataFrame:
