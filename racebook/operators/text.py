@@ -30,32 +30,63 @@ class Lexicon:
         return sorted(rows, key=lambda r: -len(r[0]))
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+def phrase_counts(text: Column, phrases: list[str]) -> Column:
+    """How often each phrase counts in a text, where a sign counts for one phrase only: earlier phrases of the list take
+    their signs first, each from left to right. Null for a null text.
+
+    One automaton of all phrases finds every place of every phrase in one pass over the text, whatever the
+    number of phrases; only these places are then gone through in the order of the list.
+    """
+    if not phrases:
+        return F.when(text.isNotNull(), F.array().cast("array<int>"))
+    sizes = [len(p) for p in phrases]
+
+    def count(batches):
+        import ahocorasick
+        import pandas as pd
+
+        automaton = ahocorasick.Automaton()
+        for i, p in enumerate(phrases):
+            if not automaton.exists(p):  # of equal phrases the first has all places
+                automaton.add_word(p, i)
+        automaton.make_automaton()
+
+        def counts(body: str) -> list[int]:
+            out = [0] * len(sizes)
+            taken = bytearray(len(body))
+            for i, end in sorted((i, end + 1) for end, i in automaton.iter(body)):
+                begin = end - sizes[i]
+                if not any(taken[begin:end]):
+                    taken[begin:end] = b"\x01" * sizes[i]
+                    out[i] += 1
+            return out
+
+        for d in batches:
+            yield pd.Series([None if body is None else counts(body) for body in d], dtype="object")
+
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(count, "array<int>")(text)
 
 
 def score_comments(df: DataFrame, text: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
     """Axis scores, weighted total, grade and confidence of each comment.
 
-    One fold over the phrases counts a phrase and masks it, so a shorter phrase inside a longer
-    one does not count again. Everything happens on the row; nothing is shuffled.
+    Longer phrases take their signs first, so a shorter phrase inside a longer one does not count
+    again. Everything happens on the row; nothing is shuffled.
     """
     axes = list(lexicon.weights)
     body = S.collapse(F.col(text))
     for old, new in lexicon.forms:
         body = F.replace(body, F.lit(old), F.lit(new))
-    # the mask is one sign longer than the phrase, so the growth of the text is the number of hits
     steps = lexicon.ordered()
-    rows = ", ".join(f"named_struct('p', {_quoted(p)}, 'mask', repeat('\u0001', {len(p) + 1}))" for p, _, _ in steps)
-    fold = f"""aggregate(array({rows}), named_struct('rest', _body, 'sizes', array(length(_body))),
-      (acc, x) -> named_struct('rest', replace(acc.rest, x.p, x.mask), 'sizes', concat(acc.sizes, array(length(acc.rest)))),
-      acc -> concat(acc.sizes, array(length(acc.rest))))"""
-    d = df.withColumn("_body", body).withColumn("_sizes", F.expr(fold))
-    # entry 0 and 1 are both the size before the first phrase
-    hit = "(_sizes[{j}] - _sizes[{i}])"
-    found = [hit.format(i=k + 1, j=k + 2) for k in range(len(steps))]
+    d = df.withColumn("_body", body).withColumn("_found", phrase_counts(F.col("_body"), [p for p, _, _ in steps]))
+    found = [f"_found[{k}]" for k in range(len(steps))]
     per_axis = [" + ".join(["0D"] + [f"{s}D * {found[k]}" for k, (_, i, s) in enumerate(steps) if i == n]) for n in range(len(axes))]
-    scored = F.expr(f"named_struct('hits', element_at(_sizes, -1) - _sizes[0], 's', array({', '.join(per_axis)}))")
+    scored = F.expr(f"named_struct('hits', {' + '.join(['0', *found])}, 's', array({', '.join(per_axis)}))")
     d = d.withColumn("_f", scored)
     none = F.col("_f.hits") == 0
     good, bad = none & F.col("_body").rlike(lexicon.good), none & F.col("_body").rlike(lexicon.bad)
@@ -93,7 +124,7 @@ def score_comments(df: DataFrame, text: str, lexicon: Lexicon = Lexicon()) -> Da
         .when(F.col("_body") != "", F.concat_ws(" ", grade, F.lit("大きな強弱なし")))
         .otherwise("未入力")
     )
-    return d.withColumns({"grade": grade, "summary": label}).drop("_body", "_sizes", "_f", "_good", "_bad", "_doubts")
+    return d.withColumns({"grade": grade, "summary": label}).drop("_body", "_found", "_f", "_good", "_bad", "_doubts")
 
 
 def segments(df: DataFrame, key: str, text: str, marker: str) -> DataFrame:

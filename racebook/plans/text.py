@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from racebook.functions import scalars as S
 from racebook.operators import features, stakes, text
 from racebook.plans.registry import R6, query, r6, rounded
+from racebook.sources.tables import spread
 
 WS = r"'[\s　]+'"
 
@@ -38,7 +39,7 @@ TEXT_SQL = norm_sql(
 FROM {{pages}}""",
 )
 def page_text_extract(t):
-    return text.page_fields(t.pages)
+    return text.page_fields(spread(t.pages))
 
 
 @query(
@@ -165,7 +166,7 @@ def lexicon_sql() -> str:
 
 @query("lexicon_score", lexicon_sql())
 def lexicon_score(t):
-    out = text.score_comments(t.documents, "text", SMALL)
+    out = text.score_comments(spread(t.documents.select("doc_id", "text")), "text", SMALL)
     cols = [f"score_{i}" for i in range(5)] + ["total"]
     return rounded(out.select("doc_id", *cols, "hits", "grade", "confidence"), *cols)
 
@@ -206,7 +207,7 @@ n AS (SELECT doc_id, s, no, {count_sql(RULES.letters)} + 12 * {words_sql(RULES.s
 SELECT doc_id, arg_max(s, (score, -no)) AS sentence, max(score) AS score FROM n GROUP BY doc_id""".replace("d{4}", "d[0-9][0-9][0-9]"),
 )
 def best_sentence(t):
-    return text.best_sentences(t.documents, ["doc_id"], "text", RULES)
+    return text.best_sentences(spread(t.documents.select("doc_id", "text")), ["doc_id"], "text", RULES)
 
 
 @query(
