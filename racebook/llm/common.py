@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import os
 import tempfile
@@ -109,6 +111,14 @@ def mapped(uri: str) -> pa.Buffer:
         return source.read_buffer()
 
 
+def give_back() -> None:
+    """Hand memory that this worker holds in reserve back to the system: workers live on, and other stages share
+    the machine with them."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do this by themselves
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples, a few at a time: a row may hold a very long text."""
     for batch in batches:

@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from racebook.llm.common import drop_stored, in_blocks, rows, shard_count, stored
+from racebook.llm.common import drop_stored, give_back, in_blocks, rows, shard_count, stored
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text of a shard; rows of a mark beyond which it is dealt on; bytes that a task of marks gathers.
 SHARD, HOT, GATHER = 4 << 20, 512, 32 << 20
+#: Places whose hashes, or bytes that, are held side by side.
+BLOCK = 1 << 20
 #: Names of the columns that a table gets for a while.
 OWN = "__suffix_"
 NO_ID = (1 << 63) - 1
@@ -149,6 +151,8 @@ def repeated_marks(texts: DataFrame) -> DataFrame:
                 held, size = [], 0
         if held:
             yield flush()
+        held.clear()
+        give_back()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (np.zeros(0, "i8"), np.zeros(0, "i4"), np.zeros(0, "i8"))
@@ -180,10 +184,11 @@ def repeated_marks(texts: DataFrame) -> DataFrame:
 
 def words_at(data: np.ndarray) -> np.ndarray:
     """The 8 bytes from every place on as one big-endian number; zeros follow the end."""
-    padded = np.concatenate([data, np.zeros(8, "u1")]).astype("u8")
+    padded = np.concatenate([data, np.zeros(8, "u1")])
     out = np.zeros(len(data), "u8")
     for i in range(8):
-        out |= padded[i : i + len(data)] << np.uint64(56 - 8 * i)
+        out <<= np.uint64(8)
+        out |= padded[i : i + len(data)]
     return out
 
 
@@ -197,6 +202,7 @@ def suffix_array(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     order = np.argsort(words, kind="stable").astype("i4")
     sorted_words = words[order]
     first = np.concatenate([[True], sorted_words[1:] != sorted_words[:-1]])
+    del sorted_words
     begin = np.flatnonzero(first)
     rank = np.empty(n, "i4")
     rank[order] = np.repeat(begin, np.diff(np.append(begin, n))).astype("i4")
@@ -225,32 +231,36 @@ def suffix_array(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def common_prefixes(words: np.ndarray, suffixes: np.ndarray, lane: int = 64) -> np.ndarray:
     """Bytes that each suffix of the array shares with the one before, LENGTH at most. After Kasai: a place shares at
-    most one byte less than the place before it did. Lanes of neighbouring places go side by side. Since the
-    array is sorted by LENGTH bytes only, nothing is taken over from full matches, nor across places left out."""
+    most one byte less than the place before it did. Lanes of neighbouring places go side by side. The array is sorted
+    by LENGTH bytes only, so of a full match this holds just where its followers stand in the same order, and nothing
+    is taken over across places left out."""
     n = len(words)
-    before = np.full(n + 1, -1, "i8")
+    before = np.full(n + 1, -1, "i4")
     before[suffixes[1:]] = suffixes[:-1]
-    within = np.zeros(n + 1, bool)
-    within[suffixes] = True
+    stands = np.full(n + 1, -1, "i4")
+    stands[suffixes] = np.arange(len(suffixes))
     out = np.zeros(n, "i2")
     starts = np.arange(0, n, lane)
     shared, other = np.zeros(len(starts), "i8"), np.full(len(starts), n - 1)
     for j in range(lane):
         place = np.minimum(starts + j, n)
-        goes_on = (shared < LENGTH) & (other >= 0) & within[other + 1]
+        follower = stands[other + 1]
+        goes_on = (other >= 0) & (follower >= 0) & ((shared < LENGTH) | (follower < stands[place]))
         shared = np.where(goes_on, np.maximum(shared - 1, 0), 0)
-        other = before[place]
+        other = before[place].astype("i8")
         shared[other < 0] = 0
         todo = np.flatnonzero(other >= 0)
         while len(todo):
             a, b = place[todo] + shared[todo], other[todo] + shared[todo]
             ok = (a < n) & (b < n)
             todo, differ = todo[ok], words[a[ok]] ^ words[b[ok]]
-            equal = (differ == 0).astype("i8")
+            alike = differ == 0
+            last, rest = todo[~alike], differ[~alike]
             for bits in range(8, 64, 8):
-                equal += differ < np.uint64(1 << bits)
-            shared[todo] += equal
-            todo = todo[(equal == 8) & (shared[todo] < LENGTH)]
+                shared[last] += rest < np.uint64(1 << bits)
+            todo = todo[alike]
+            shared[todo] += 8
+            todo = todo[shared[todo] < LENGTH]
         shared = np.minimum(shared, LENGTH)
         live = place < n
         out[place[live]] = shared[live]
@@ -272,24 +282,23 @@ def shard_regions(texts: list[bytes], ids: list[int], marks: np.ndarray, cross:
     """Rows of REGION without shard: kind 0 covers (at, bytes) of a document, kind 1 is a stretch to merge.
     ``marks`` are sorted."""
     data, begins, starts = joined_texts(texts)
-    known, row = np.zeros(len(starts), bool), np.zeros(len(starts), "i8")
-    route = np.zeros(len(starts), "u8")
-    at = 0
-    while at < len(starts):  # a block of places at a time: hashes take 8 bytes for each
-        upto = min(len(starts), at + (1 << 20))
-        a, b = int(starts[at]), int(starts[upto - 1]) + LENGTH
-        own = starts[at:upto] - a
-        mark = marks_of(data[a:b])[own]
+    starts = starts.astype("i4")
+    held: list[tuple[np.ndarray, ...]] = []
+    for at in range(0, len(starts), BLOCK):  # hashes take 8 bytes for each place, so few places at a time
+        some = starts[at : at + BLOCK]
+        a, b = int(some[0]), int(some[-1]) + LENGTH
+        mark = marks_of(data[a:b])[some - a]
         place = np.minimum(np.searchsorted(marks, mark), len(marks) - 1)
-        known[at:upto] = marks[place] == mark
-        row[at:upto] = place
-        route[at:upto] = mark
-        if hot[place[known[at:upto]]].any():
-            second = marks_of(data[a:b], 1)[own]
-            far = known[at:upto] & hot[place]
-            route[at:upto][far] = (mark[far] ^ (second[far] >> np.uint64(7))) * np.uint64(BASE)
-        at = upto
-    chosen, row, route = starts[known], row[known], route[known]
+        known = marks[place] == mark
+        mark, place, some = mark[known], place[known].astype("i4"), some[known]
+        far = hot[place]
+        if far.any():
+            second = marks_of(data[a:b], 1)[some[far] - a]
+            mark[far] = (mark[far] ^ (second >> np.uint64(7))) * np.uint64(BASE)
+        held.append((some, cross[place], mark))
+    del starts
+    chosen, merges, route = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.zeros(0, "i4")] * 3
+    held.clear()
     if not len(chosen):
         return []
     # the bytes of the chosen strings, side by side; a string never spans a gap since a stretch holds it whole
@@ -298,9 +307,8 @@ def shard_regions(texts: list[bytes], ids: list[int], marks: np.ndarray, cross:
     begin, end = begin[merged], np.append(end[merged[1:] - 1], end[-1]) + LENGTH
     size = end - begin
     base = np.concatenate([[0], np.cumsum(size)[:-1]])
-    flat = np.repeat(begin - base, size) + np.arange(int(size.sum()))
-    del known
-    words = words_at(data[flat])
+    n = int(size.sum())
+    words = words_at(np.concatenate([data[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]))
     piece = np.searchsorted(begin, chosen, "right") - 1
     local = chosen - begin[piece] + base[piece]
     order = suffix_array(words, local)
@@ -308,15 +316,17 @@ def shard_regions(texts: list[bytes], ids: list[int], marks: np.ndarray, cross:
     # of equal strings the first place stays: the array has them side by side, in order of place
     group = np.flatnonzero(~equal)
     first = np.repeat(np.minimum.reduceat(order, group), np.diff(np.append(group, len(order))))
-    covered = np.zeros(len(flat), bool)
+    del words, equal
+    covered = np.zeros(n, bool)
     covered[order[first != order]] = True
     gone = covered[local]
+    del order, first, covered, local, piece
     out: list[tuple] = []
     a, b = stretches(chosen[gone])
     doc_of = np.searchsorted(begins, a, "right") - 1
     for d, x, y in zip(doc_of.tolist(), a.tolist(), b.tolist(), strict=True):
         out.append((0, None, d, x - int(begins[d]), y - x + LENGTH, ids[d], None))
-    left = ~gone & cross[row]
+    left = ~gone & merges
     places, keys = chosen[left], route[left].view("i8")
     a, b = stretches(places, keys)
     key_of = keys[np.searchsorted(places, a)]
@@ -347,40 +357,67 @@ def local_regions(texts: DataFrame, marks: DataFrame) -> DataFrame:
             found = shard_regions(left.column(f"{OWN}text").to_pylist(), left.column(f"{OWN}id").to_pylist(), mark, cross, hot)
         columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
         table = pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
-        return table.add_column(1, "shard", pa.array([shard] * len(found), pa.int32()))
+        del left, right, columns
+        found, n_found = [], len(found)
+        give_back()
+        return table.add_column(1, "shard", pa.array([shard] * n_found, pa.int32()))
 
     own = texts.select(f"{OWN}id", f"{OWN}text", f"{OWN}shard")
     return own.groupBy(f"{OWN}shard").cogroup(marks.groupBy("shard")).applyInArrow(work, REGION)
 
 
+def same_strings(data: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH bytes from each place of ``left`` and ``right`` are equal. Neighbours on both sides share
+    most of their bytes, which are compared once for each run of them."""
+    cut = (left[1:] != left[:-1] + 1) | (right[1:] != right[:-1] + 1)
+    first = np.flatnonzero(np.concatenate([[True], cut]))
+    count = np.diff(np.append(first, len(left)))
+    out = np.empty(len(left), bool)
+    a = 0
+    while a < len(first):  # runs of about BLOCK bytes at a time, or one longer run
+        b = max(a + 1, int(np.searchsorted(np.cumsum(count[a:] + LENGTH - 1), BLOCK)) + a)
+        size = count[a:b] + LENGTH - 1
+        base = np.cumsum(size) - size
+        at = np.arange(int(size.sum()), dtype="i8")
+        differ = data[at + np.repeat(left[first[a:b]] - base, size)] != data[at + np.repeat(right[first[a:b]] - base, size)]
+        upto = np.concatenate([[0], np.cumsum(differ, dtype="i4")])
+        lo, hi = int(first[a]), int(first[b - 1] + count[b - 1])
+        place = np.arange(hi - lo) + np.repeat(base - (first[a:b] - lo), count[a:b])
+        out[lo:hi] = upto[place + LENGTH] == upto[place]
+        a = b
+    return out
+
+
 def merged_cover(keys: np.ndarray, rank: np.ndarray, parts: list[bytes]) -> list[tuple[int, int, int]]:
     """(stretch, first, last) of strings that a stretch of lower rank has too, among stretches of equal key."""
+    by_rank = np.argsort(rank)
+    keys, rank, parts = keys[by_rank], rank[by_rank], [parts[i] for i in by_rank.tolist()]
     sizes = np.array([len(p) for p in parts], "i8")
     data = np.frombuffer(b"".join(parts), "u1")
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
+    begins = np.cumsum(sizes) - sizes
     n_strings = sizes - LENGTH + 1
     owner = np.repeat(np.arange(len(parts)), n_strings)
-    place = np.arange(int(n_strings.sum())) - np.repeat(np.cumsum(n_strings) - n_strings, n_strings) + np.repeat(begins, n_strings)
+    place = np.arange(int(n_strings.sum())) + np.repeat(begins - np.cumsum(n_strings) + n_strings, n_strings)
     print_ = (gram_hashes(data, LENGTH)[place] ^ keys.view("u8")[owner]) * np.uint64(BASE)
-    words = words_at(data)
     covered = np.zeros(len(owner), bool)
     todo = np.arange(len(owner))
     while len(todo):  # once, but for strings whose fingerprint another string has
-        order = todo[np.lexsort((rank[owner[todo]], print_[todo]))]
-        own = print_[order]
-        first = np.concatenate([[True], own[1:] != own[:-1]])
-        heads, values = order[first], own[first]
-        head = heads[np.searchsorted(values, print_[todo])]  # binary search among the sorted fingerprints of all shards
-        same = keys[owner[todo]] == keys[owner[head]]
-        for shift in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            same &= words[place[todo] + shift] == words[place[head] + shift]
-        covered[todo] = same & (rank[owner[todo]] > rank[owner[head]])
-        todo = todo[~same]
+        own = print_[todo]
+        order = np.argsort(own)
+        own = own[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        heads = todo[np.minimum.reduceat(order, first)]  # strings stand in the order of their stretches' ranks
+        head = np.empty(len(todo), "i8")
+        head[order] = heads[np.searchsorted(own[first], own)]  # binary search among the sorted fingerprints of all shards
+        own = np.flatnonzero(head != todo)
+        a, b = todo[own], head[own]
+        same = (keys[owner[a]] == keys[owner[b]]) & same_strings(data, place[a], place[b])
+        covered[a] = same & (rank[owner[a]] > rank[owner[b]])
+        todo = a[~same]
     hit = np.flatnonzero(covered)
     a, b = stretches(hit, owner[hit])
     own = owner[a]
-    return list(zip(own.tolist(), (place[a] - begins[own]).tolist(), (place[b] - begins[own]).tolist(), strict=True))
+    return list(zip(by_rank[own].tolist(), (place[a] - begins[own]).tolist(), (place[b] - begins[own]).tolist(), strict=True))
 
 
 def cross_regions(regions: DataFrame) -> DataFrame:
@@ -408,6 +445,8 @@ def cross_regions(regions: DataFrame) -> DataFrame:
             size += len(row[5])
         if held:
             yield out(held)
+        held.clear()
+        give_back()
 
     parts = regions.where("kind = 1").select("mark", "doc_id", "shard", "doc", "at", "part")
     n = max(1, int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -455,6 +494,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         parts = [hashlib.sha256(f[0]).hexdigest() if digest else f[0].decode("utf-8", "ignore") for f in found]
         for name, column in (("kept", pa.array(parts, pa.string())), ("n_bytes", pa.array([len(t) for t in own], pa.int64())), ("n_removed", pa.array([f[1] for f in found], pa.int64())), ("n_spans", pa.array([f[2] for f in found], pa.int64()))):
             left = left.append_column(OWN + name, column)
+        del own, found, parts
+        give_back()
         return left
 
     return whole.groupBy(f"{OWN}shard").cogroup(cover.groupBy("shard")).applyInArrow(work, schema)
