@@ -34,14 +34,21 @@ PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_t
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def merged(*places: np.ndarray) -> np.ndarray:
+    """All places in order, each once."""
+    at = np.sort(np.concatenate([np.asarray(p, "i8") for p in places]))
+    return at[np.concatenate([[True], at[1:] != at[:-1]])] if len(at) else at
+
+
 def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut may stand, from 0 on, and what each costs."""
-    at = np.union1d(np.union1d([0], doc_ends), sentence_ends).astype("i8")
-    for i in np.flatnonzero(np.diff(at) > size)[::-1].tolist():  # a long sentence: let cuts stand inside it
-        at = np.insert(at, i + 1, np.arange(at[i] + size, at[i + 1], size))
+    at = merged([0], doc_ends, sentence_ends)
+    long = np.flatnonzero(np.diff(at) > size).tolist()  # a long sentence: let cuts stand inside it
+    if long:
+        at = merged(at, *[np.arange(at[i] + size, at[i + 1], size) for i in long])
     price = np.full(len(at), INSIDE, "i8")
-    price[np.isin(at, sentence_ends)] = SENTENCE
-    price[np.isin(at, doc_ends)] = 0
+    price[np.searchsorted(at, sentence_ends)] = SENTENCE
+    price[np.searchsorted(at, doc_ends)] = 0
     return at, price
 
 
@@ -51,8 +58,9 @@ def choose_cuts(at: np.ndarray, price: np.ndarray, size: int = SIZE) -> np.ndarr
     jumps: dict[int, list[int]] = {}
     for p in powers:
         begin = np.searchsorted(at, at - p)
-        for i in np.flatnonzero(at[begin] == at - p).tolist():
-            jumps.setdefault(i, []).append(int(begin[i]))
+        ends = np.flatnonzero(at[begin] == at - p)
+        for i, b in zip(ends.tolist(), begin[ends].tolist(), strict=True):
+            jumps.setdefault(i, []).append(b)
     places, prices = at.tolist(), price.tolist()
     cost, back = [0] * len(places), [0] * len(places)
     queue = deque([0])  # begins by falling worth; cost + place is the worth of a begin
@@ -81,7 +89,7 @@ def choose_cuts(at: np.ndarray, price: np.ndarray, size: int = SIZE) -> np.ndarr
 
 def pieces(doc_ends: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     """Document, start in it, length, sequence and offset in that of every piece, in order."""
-    edges = np.union1d(np.union1d([0], doc_ends), cuts)
+    edges = merged([0], doc_ends, cuts)
     begin, length = edges[:-1], np.diff(edges)
     doc = np.searchsorted(doc_ends, begin, "right")
     sequence = np.searchsorted(cuts, begin, "right") - 1

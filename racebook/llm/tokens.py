@@ -18,7 +18,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+
+from racebook.llm.common import give_back
 
 #: Words that a worker keeps; beyond it the older half goes, which changes no result.
 MEMO_WORDS = 1_000_000
@@ -48,7 +49,7 @@ def collector_off() -> Iterator[None]:
     finally:
         if was:
             gc.enable()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 class WordEncoder:
@@ -66,6 +67,7 @@ class WordEncoder:
             found = self.whole.get_added_tokens_decoder().values()
             # what is matched after the text was normalised may look different in it: then every text goes whole
             self.added = [b"" if t.normalized else t.content.encode() for t in found]
+            self.sign = os.path.commonprefix(self.added)  # a text without it holds none
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -99,14 +101,17 @@ class WordEncoder:
         """Ids of new words; signs that follow the letters of a word are a piece of their own."""
         memo, older = self.memo, self.older
         out: dict[bytes, bytes] = {}
-        whole, stems, signs, other = [], [], [], []
+        small, whole, stems, signs, other = [], [], [], [], []
         for w in words:
             if (seen := older.get(w)) is not None:
                 out[w] = seen
             elif w.isalpha():  # of bytes: ASCII letters
-                whole.append(w)
-                stems.append(w.lower())
-                signs.append(b"")
+                if w.islower():  # nothing else can have taught its ids
+                    small.append(w)
+                else:
+                    whole.append(w)
+                    stems.append(w.lower())
+                    signs.append(b"")
             elif w[-1] in STOPS and w[:-1].isalpha():
                 whole.append(w)
                 stems.append(w[:-1].lower())
@@ -117,19 +122,23 @@ class WordEncoder:
                 signs.append(m[2].encode())
             else:
                 other.append(w)
-        ids = {p: memo.get(p) or older.get(p) for p in stems}
-        new = [p for p, known in ids.items() if known is None]
+        ids = dict(zip(small, self._one_piece(small), strict=True))
+        fresh = set(stems).difference(ids)
+        ids.update((p, memo.get(p) or older.get(p)) for p in fresh)
+        new = [p for p in fresh if ids[p] is None]
         ids.update(zip(new, self._one_piece(new), strict=True))
         few = list(set(signs) - {b""}) + other
         known = {b"": b""} | dict(zip(few, (x.tobytes() for x in self._ids([w.decode("utf-8", "replace") for w in few])), strict=True))
         out.update((w, known[w]) for w in other)
         out.update(zip(whole, [ids[p] + known[s] for p, s in zip(stems, signs, strict=True)], strict=True))
-        for found in (ids, out):
-            memo.update((w, x) for w, x in found.items() if len(w) <= MEMO_LENGTH)
-        return out
+        ids.update(out)
+        memo.update(ids)
+        for w in [w for w in ids if len(w) > MEMO_LENGTH]:
+            del memo[w]
+        return ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        whole = {i: t for i, t in enumerate(texts) if t and any(a in t for a in self.added)} if self.added else {}
+        whole = {i: t for i, t in enumerate(texts) if t and self.sign in t and any(a in t for a in self.added)} if self.added else {}
         out = self._by_word([None if i in whole else t for i, t in enumerate(texts)] if whole else texts)
         for i, t in whole.items():
             ids = self.whole.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids
