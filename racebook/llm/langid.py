@@ -66,10 +66,9 @@ def pieces(words: list[bytes]) -> list[bytes]:
 def plain(word: bytes) -> bytes:
     """Small letters without signs around them; empty for a word without a letter."""
     text = word.decode("utf-8", "replace")
-    low = text.lower()
-    if low == text.upper() and not any(map(str.isalpha, text)):
+    if not any(map(str.isalpha, text)):
         return b""
-    return low.strip(SIGNS).encode("utf-8", "replace")
+    return text.lower().strip(SIGNS).encode("utf-8", "replace")
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -423,3 +423,27 @@ def test_registered_queries():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    """Circled letters, number signs and combining marks are no letters, though some have small and large forms."""
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 30), "aa" if i % 2 else "bb", 1, 1, 0.0) for i in range(1, 200)]
+    odd = ["ⓐ ⓑ", "Ⅷ ⅷ", "ͅ", "12 !", "", None, " \n"]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None, 1, 1, 0.0) for i, t in enumerate(odd)], DOCS)
+    field = langid.learned(docs, F.lit(True))
+    got = {r.doc_id: r.lang_pred for r in langid.labelled(docs, field).collect()}
+    assert all(got[1000 + i] == langid.UNKNOWN for i in range(len(odd))) and got[1] in ("aa", "bb")
+
+
+def test_equal_strings_by_runs():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 2, 3000).astype("u1")
+    data[1500:2200] = data[100:800]
+    left = np.sort(rng.choice(2800, 900, replace=False))
+    right = np.where(rng.random(900) < 0.3, rng.integers(0, 2800, 900), np.minimum(left + 1400, 2890))
+    want = [bytes(data[a : a + suffix.LENGTH]) == bytes(data[b : b + suffix.LENGTH]) for a, b in zip(left, right)]
+    for block in (1, 300, 1 << 20):
+        suffix.BLOCK, before = block, suffix.BLOCK
+        assert suffix.same_strings(data, left, right).tolist() == want and any(want)
+        suffix.BLOCK = before
