@@ -87,28 +87,28 @@ TICKET_SQL = f"""{TRI_SQL},
 x0 AS (SELECT *, {ODDS_EXPR} AS odds, {HEDGE_EXPR} AS hedge_lane FROM tri),
 x1 AS (SELECT *, prob * odds AS ev, CASE WHEN odds IS NOT NULL THEN least(greatest(prob * odds, 0), 2.5) END AS ev_c,
   ln(1 + odds) AS lo FROM x0),
-x AS (SELECT *, {pct('prob')} AS pr, {pct('ev_c')} AS er, {pct('lo')} AS orr,
+x AS MATERIALIZED (SELECT *, {pct('prob')} AS pr, {pct('ev_c')} AS er, {pct('lo')} AS orr,
   count(odds) OVER ({P}) > 0 AS has_odds FROM x1),
 m0 AS (SELECT *, NOT has_odds OR coalesce(ev >= 0.9, false) OR pr >= 0.93 AS pool FROM x),
 m1 AS (SELECT *, pool OR count(*) FILTER (WHERE pool) OVER ({P}) < 3 AS open FROM m0),
-main AS (SELECT race_key, combo, row_number() OVER ({P} ORDER BY CASE WHEN has_odds THEN pr * 0.78 + er * 0.22 ELSE prob END DESC, prob DESC, combo) AS place
+main AS MATERIALIZED (SELECT race_key, combo, row_number() OVER ({P} ORDER BY CASE WHEN has_odds THEN pr * 0.78 + er * 0.22 ELSE prob END DESC, prob DESC, combo) AS place
   FROM m1 WHERE open QUALIFY place <= 3),
-r1 AS (SELECT x.* FROM x ANTI JOIN main USING (race_key, combo)),
-cover AS (SELECT race_key, combo, row_number() OVER ({P} ORDER BY CASE WHEN has_odds THEN
+r1 AS MATERIALIZED (SELECT x.* FROM x ANTI JOIN main USING (race_key, combo)),
+cover AS MATERIALIZED (SELECT race_key, combo, row_number() OVER ({P} ORDER BY CASE WHEN has_odds THEN
     pr * 0.82 + er * 0.18 - CASE WHEN ev < 0.75 THEN 0.08 ELSE 0 END ELSE prob END DESC, prob DESC, combo) AS place
   FROM r1 QUALIFY place <= 3),
-r2 AS (SELECT r1.* FROM r1 ANTI JOIN cover USING (race_key, combo)),
+r2 AS MATERIALIZED (SELECT r1.* FROM r1 ANTI JOIN cover USING (race_key, combo)),
 l0 AS (SELECT *, coalesce(ev >= 1 AND (prob >= 0.003 OR ev >= 1.8), false) AS best, coalesce(ev >= 1, false) AS good FROM r2),
 l1 AS (SELECT *, CASE WHEN NOT has_odds THEN true
     WHEN count(*) FILTER (WHERE best) OVER ({P}) >= 2 THEN best
     WHEN count(*) FILTER (WHERE good) OVER ({P}) >= 2 THEN good ELSE true END AS pool FROM l0),
-longs AS (SELECT race_key, combo, row_number() OVER ({P} ORDER BY CASE WHEN has_odds THEN
+longs AS MATERIALIZED (SELECT race_key, combo, row_number() OVER ({P} ORDER BY CASE WHEN has_odds THEN
     er * 0.55 + orr * 0.2 + pr * 0.25 - CASE WHEN prob < 0.003 AND ev < 1.8 THEN 0.25 ELSE 0 END ELSE prob END DESC,
     ev DESC NULLS LAST, prob DESC, combo) AS place FROM l1 WHERE pool QUALIFY place <= 2),
 lj AS (SELECT l.*, x.hedge_lane, x.a = x.hedge_lane OR x.b = x.hedge_lane OR x.c = x.hedge_lane AS inc
   FROM longs l JOIN x USING (race_key, combo)),
 need AS (SELECT race_key, max(place) AS last_place FROM lj WHERE hedge_lane IS NOT NULL GROUP BY race_key HAVING bool_and(inc)),
-hedge AS (SELECT r2.race_key, r2.combo, need.last_place AS place FROM r2 JOIN need USING (race_key)
+hedge AS MATERIALIZED (SELECT r2.race_key, r2.combo, need.last_place AS place FROM r2 JOIN need USING (race_key)
   WHERE a <> hedge_lane AND b <> hedge_lane AND c <> hedge_lane
   QUALIFY row_number() OVER ({P} ORDER BY CASE WHEN has_odds THEN er * 0.5 + pr * 0.5 ELSE prob END DESC, ev DESC NULLS LAST, prob DESC, combo) = 1),
 longf AS (SELECT race_key, combo, place, false AS is_hedge FROM longs l
