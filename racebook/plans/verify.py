@@ -297,6 +297,20 @@ def scan_history_csv(t):
     return stores.read_csv(t.spark, path, HISTORY)
 
 
+@query(
+    "scan_odds_csv",
+    """SELECT combo, odds, NULL AS line FROM {odds_samples} WHERE odds >= 1
+UNION ALL SELECT NULL, NULL, concat(combo, ',n/a') FROM {odds_samples} WHERE odds < 1""",
+)
+def scan_odds_csv(t):
+    """Two-column odds files: prices as rows, lines without a price as rejects."""
+    path = fresh_path(t.spark, "odds")
+    price = F.when(F.col("odds") >= 1, F.col("odds").cast("string")).otherwise("n/a")
+    t.odds_samples.select("combo", price.alias("odds")).write.option("header", True).csv(path)
+    rows, rejects = stores.scan_csv(t.spark, path, "combo STRING, odds DOUBLE")
+    return rows.withColumn("line", F.lit(None).cast("string")).unionByName(rejects, allowMissingColumns=True)
+
+
 @query(
     "export_tickets_csv",
     f"SELECT race_key, combo, {R6('prob')} AS prob, odds, ticket_group AS \"group\", stake FROM {{tickets}}",

@@ -108,3 +108,24 @@ def export_tickets(tickets: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """CSV with a header and a fixed schema; rows that do not fit give NULLs."""
     return spark.read.schema(ddl).option("header", True).option("mode", "PERMISSIVE").csv(path)
+
+
+REJECT = "_reject"
+
+
+def scan_csv(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a CSV with a header that fit the schema, and the rejects: the raw text of all other lines.
+
+    The text is parsed once into a stored table, from which both are read, so no line can be in both or in none. A line
+    with a value that does not fit its type, or with more or fewer fields than the schema, is a reject.
+    """
+    parsed = (
+        spark.read.schema(f"{ddl}, {REJECT} STRING")
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", REJECT)
+        .csv(path)
+    )
+    both = store(parsed, "csv-scan")
+    rejected = F.col(REJECT).isNotNull()
+    return both.filter(~rejected).drop(REJECT), both.filter(rejected).select(F.col(REJECT).alias("line"))

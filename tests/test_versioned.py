@@ -200,3 +200,14 @@ def test_shared_folder_without_a_setting(spark, monkeypatch):
         with pytest.raises(ValueError):
             session.shared_dir(Session(master))
     assert isinstance(spark, SparkSession) and session.shared_dir(spark)
+
+
+def test_lines_that_do_not_fit_are_rejects(spark, tmp_path):
+    lines = ["combo,odds", "1-2-3,12.5", "1-2-4,n/a", "1-3-2", "2-1-3,4.0,extra", "", "3-2-1,", '"4-5-6",7', "5-4-6,1e2"]
+    (tmp_path / "odds.csv").write_text("\n".join(lines) + "\n")
+    rows, rejects = stores.scan_csv(spark, str(tmp_path / "odds.csv"), "combo STRING, odds DOUBLE")
+    assert sorted(map(tuple, rows.collect()), key=str) == [("1-2-3", 12.5), ("3-2-1", None), ("4-5-6", 7.0), ("5-4-6", 100.0)]
+    assert sorted(r.line for r in rejects.collect()) == ["1-2-4,n/a", "1-3-2", "2-1-3,4.0,extra"]
+    (tmp_path / "none.csv").write_text("combo,odds\n")
+    rows, rejects = stores.scan_csv(spark, str(tmp_path / "none.csv"), "combo STRING, odds DOUBLE")
+    assert rows.count() == rejects.count() == 0
