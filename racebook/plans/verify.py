@@ -14,6 +14,7 @@ from racebook.session import fresh_path
 from racebook.sources import stores
 from racebook.sources.archive import OddsArchive
 from racebook.sources.versioned import Table
+from racebook.sources.views import register_views
 
 
 def result_rows(t):
@@ -90,6 +91,23 @@ def perf_by_ev_band(t):
     return rounded(out, "roi")
 
 
+@query("sql_views", f"""SELECT 'venue' AS view, CAST(venue_no AS VARCHAR) AS key, {MEASURES_SQL} FROM {{results_rows}} GROUP BY venue_no
+UNION ALL SELECT 'lane', CAST(p1_lane AS VARCHAR), {MEASURES_SQL} FROM {{results_rows}} GROUP BY p1_lane
+UNION ALL SELECT 'band', {BAND_SQL}, {MEASURES_SQL} FROM {{results_rows}} GROUP BY {BAND_SQL}
+UNION ALL SELECT 'overall', NULL, {MEASURES_SQL} FROM {{results_rows}}""")
+def sql_views(t):
+    """The views over race results, asked by name in SQL."""
+    register_views(result_rows(t), t.tickets, t.official_results)
+    rest = "races, first_hit_rate, ticket_hit_rate, top_ticket_hit_rate, total_stake, total_payout, profit, roi, brier_first"
+    out = t.spark.sql(
+        f"""SELECT 'venue' AS view, string(venue_no) AS key, {rest} FROM perf_by_venue
+        UNION ALL SELECT 'lane', string(p1_lane), {rest} FROM perf_by_lane
+        UNION ALL SELECT 'band', band, {rest} FROM perf_by_prob_band
+        UNION ALL SELECT 'overall', NULL, {rest} FROM perf_overall"""
+    )
+    return rounded(out, *RATES)
+
+
 @query(
     "calibration_table",
     f"""WITH bands(band_no, band) AS (VALUES {', '.join(f"({i}, '{b}')" for i, (b, _, _) in enumerate(K.PROB_BANDS))}),
