@@ -97,11 +97,14 @@ def op6_token_files(documents: DataFrame) -> DataFrame:
             count(*) OVER (PARTITION BY conv_id) AS whole FROM i),
     d AS (SELECT DISTINCT conv_id, mark, n, whole FROM p),
     k AS (SELECT mark, n, min(conv_id) AS conv_id, count(*) AS copies FROM d WHERE n = whole GROUP BY mark, n),
-    m AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.n < d.whole AND d.mark = k.mark AND d.n = k.n))
-    SELECT m.conv_id, CASE WHEN turn = -4611686018427387904 THEN -1 ELSE floor(turn / 64.0)::BIGINT END AS part, n AS n_turns, copies,
-      string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), ''
-        ORDER BY turn, role NULLS FIRST, text NULLS FIRST) AS text
-    FROM m JOIN t ON m.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY ALL
+    m AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.n < d.whole AND d.mark = k.mark AND d.n = k.n)),
+    c AS (SELECT t.*, n, copies, CASE WHEN count(*) OVER (PARTITION BY t.conv_id, turn) > 64
+            THEN substr(md5(coalesce(role, '') || chr(10) || coalesce(text, '')), 1, 4) END AS cell
+          FROM m JOIN t ON m.conv_id IS NOT DISTINCT FROM t.conv_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, cell, role NULLS FIRST, text NULLS FIRST) - 1 AS place FROM c)
+    SELECT conv_id, place // 64 AS part, n AS n_turns, copies,
+      string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY place) AS text
+    FROM r GROUP BY ALL
     """,
 )
 def op7_chat(conversations: DataFrame) -> DataFrame:

@@ -395,6 +395,27 @@ def test_snapshots_collapse(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_crowded_turn_comes_in_bounded_parts(spark):
+    import duckdb
+
+    from racebook.llm import plans
+
+    ids = spark.range(100_000)
+    hot = ids.select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.when(F.col("id") % 3 > 0, "user").alias("role"), F.concat(F.lit("é "), F.col("id").cast("string")).alias("text"))
+    few = spark.range(200).select(F.lit(5).cast("long").alias("conv_id"), (F.col("id") % 2).alias("turn"), F.lit("user"), F.col("id").cast("string"))
+    logs = hot.union(few).union(few.limit(3)).union(spark.sql("SELECT 5L, 1L, 'bot', NULL"))
+    got = {(r.conv_id, r.part): r for r in chat.render(logs).collect()}
+    counts = [r.text.count("<|end|>") for r in got.values()]
+    assert max(counts) == chat.PART and sum(counts) == 100_201
+    assert sum(r.conv_id is None for r in got.values()) == -(-100_000 // chat.PART)
+    logs = hot.where("length(text) < 6").union(few).union(spark.sql("SELECT 5L, 1L, 'bot', NULL"))
+    got = {(r.conv_id, r.part): r for r in chat.render(logs).collect()}
+    con = duckdb.connect()
+    con.register("conversations", logs.toArrow())
+    want = con.execute(plans.ORACLES["op7_chat"]).fetchall()
+    assert {(c, p): (n, k, x) for c, p, n, k, x in want} == {k: (r.n_turns, r.copies, r.text) for k, r in got.items()}
+
+
 def test_pipeline_stages_on_odd_rows(spark, docs):
     import corpus_pipeline
 
