@@ -9,7 +9,7 @@ Two documents link when the sizes of the intersection and the union of their shi
   frequent ones is at most ``LIST`` long; where it would be longer, its threshold rises.
 * Of a set of n shingles at most D = n - ceil(t n) are missing in a linked one. So in the first D + K of each, two
   linked sets share K (the prefix, extended). Rare ones are indexed one by one, and a pair must share K of them
-  if the prefix of either side is all rare.
+  if the prefix of either side is all rare. A set whose links may share fewer than K goes by combinations too.
 * A document whose prefix reaches frequent shingles also indexes combinations of two neighbours in that order, over
   a prefix extended so far that foreign shingles cannot part all neighbours that two linked sets share.
 * A key of few documents gives its pairs, a key of many a star around its smallest document; components of these
@@ -134,7 +134,7 @@ def keys_of(low: np.ndarray, n: int, frequent: np.ndarray, percent: int) -> tupl
         often = frequent[np.minimum(known, len(frequent) - 1)] == low[:edge]
     rare = low[:edge][~often]
     prefix = min(n, missing(n, percent) + K)
-    if len(rare) >= prefix:
+    if len(rare) >= prefix and n - missing(n, percent) >= K:
         return rare[:prefix], np.zeros(0, "i8")
     ordered = np.concatenate([rare, low[:edge][often], low[edge:]])[: reach(n, percent)]
     both = (ordered[:-1] * np.int64(0x5851F42D4C957F2D) + ordered[1:]) * np.int64(0x369DEA0F31A53F85)
@@ -339,7 +339,10 @@ def verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row. ``percent`` is 67 or more: below, foreign shingles can part all
+    neighbours that small linked sets share."""
+    if not 67 <= percent <= 100:
+        raise ValueError("percent must lie between 67 and 100")
     few = id_and_text(docs, id_col, text_col)
     table = stored(shingle_table(few, words, percent), "shingles")
     classes = stored(table.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low")), "classes")

@@ -224,6 +224,36 @@ def test_jaccard_groups_equal_all_pairs(docs, empty, spark, monkeypatch, k, perc
     assert jaccard.jaccard_groups(empty, k, percent).count() == 0
 
 
+@pytest.mark.parametrize("k,percent", [(5, 80), (3, 90), (2, 67)])
+def test_small_sets_keep_their_links_where_all_shingles_are_low_and_rare(spark, k, percent):
+    rng, shingler = random.Random(31), jaccard.Shingler(k)
+
+    def low(before, after):  # a word that makes only shingles of the lowest quarter
+        while True:
+            word = f"w{rng.random():.9f}"
+            made = shingler.sets([" ".join([*before[-k + 1 :], word, *after[: k - 1]]).encode()])[0]
+            if len(before) + len(after) < k - 1 or made.max() < jaccard.LOW:
+                return word
+
+    texts = []
+    for n in [k + 3 + i % 6 for i in range(60)]:
+        words = []
+        for _ in range(n):
+            words.append(low(words, []))
+        texts += [" ".join(words), " ".join([*words, low(words, [])]), " ".join([low([], words), *words])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    sets = [shingles(t, k) for t in texts]
+    want = {}
+    for g in range(0, len(sets), 3):  # other triples share nothing
+        linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+        links = {(a, b) for a in range(g, g + 3) for b in range(a + 1, g + 3) if linked(a, b)}
+        want[g] = g
+        want[g + 1] = g if (g, g + 1) in links or {(g, g + 2), (g + 1, g + 2)} <= links else g + 1
+        want[g + 2] = g if (g, g + 2) in links or {(g, g + 1), (g + 1, g + 2)} <= links else g + 1 if (g + 1, g + 2) in links else g + 2
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(table, k, percent).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_repeated_bytes_equal_a_plain_scan(docs, empty, monkeypatch):
     seen, want = set(), []
     rows = sorted((((r.doc_id is None, r.doc_id or 0), (r.text or "").encode()) for r in docs.collect()))
