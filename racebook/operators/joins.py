@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from racebook import constants as K
+from racebook.functions.scalars import nfkc
 
 SALTS = 16
 
@@ -52,6 +53,11 @@ def compact_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[\s　]+", "")
 
 
+def name_key(name: Column) -> Column:
+    """Name as a join key: full-width, half-width and composed forms folded to one, without white space."""
+    return compact_name(nfkc(name))
+
+
 def race_card(entries: DataFrame, meet: DataFrame, course: DataFrame, own: DataFrame, profile: DataFrame) -> DataFrame:
     """Race card with current-meet, own-exhibition, course and venue columns, all optional.
 
@@ -74,9 +80,9 @@ def fill_defaults(dim: DataFrame, facts: DataFrame, key: str, defaults: dict) ->
 
 
 def comments_by_name(racers: DataFrame, comments: DataFrame, order: str) -> DataFrame:
-    """Racers with the first comment entered under their name, white space aside."""
-    first = comments.groupBy(compact_name(F.col("name")).alias("_name")).agg(F.min_by("comment", order).alias("comment"))
-    keyed = racers.withColumn("_name", compact_name(F.col("racer_name")))
+    """Racers with the first comment entered under their name, white space and forms of signs aside."""
+    first = comments.groupBy(name_key(F.col("name")).alias("_name")).agg(F.min_by("comment", order).alias("comment"))
+    keyed = racers.withColumn("_name", name_key(F.col("racer_name")))
     return keyed.join(first, "_name", "left").drop("_name")
 
 

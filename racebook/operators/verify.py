@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from racebook import constants as K
-from racebook.schemas import PAYLOAD, RACE_ROW, TICKET_ROW
+from racebook.operators import documents
+from racebook.schemas import PAYLOAD
 
 
 def finite(c: Column) -> Column:
@@ -284,6 +285,4 @@ def any_hit(results: DataFrame, tickets: DataFrame) -> DataFrame:
 
 def lanes_of_document(doc: Column) -> Column:
     """Lane rows of a stored document in its old list form or its new object form."""
-    new = F.from_json(doc, f"final ARRAY<{RACE_ROW}>").getField("final")
-    old = F.from_json(doc, f"ARRAY<{RACE_ROW}>")
-    return F.when(F.ltrim(doc).startswith("{"), new).otherwise(old)
+    return documents.lanes(documents.opened(doc))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from racebook.functions import scalars
 from racebook.operators import features, joins
 from racebook.plans.registry import R6, query, rounded
 
@@ -92,6 +93,25 @@ def normalized_name_join(t):
     return joins.comments_by_name(racers, comments, "entry")
 
 
+@query(
+    "folded_name_join",
+    """SELECT c.c_custkey AS racer_no, 'ガ' || c.c_name AS racer_name, m.comment FROM {customer} c LEFT JOIN (
+  SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) AS comment FROM {orders} GROUP BY o_custkey) m ON m.o_custkey = c.c_custkey""",
+)
+def folded_name_join(t):
+    """Names entered in half-width, full-width and decomposed signs meet the composed ones."""
+    plain = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    form = F.col("o_orderkey") % 3
+    entered = (
+        F.when(form == 0, F.concat(F.lit("ｶﾞ"), plain))
+        .when(form == 1, F.concat(F.lit("カ\u3099 "), plain))
+        .otherwise(F.concat(F.lit("ガ"), F.translate(plain, scalars.NARROW, scalars.WIDE)))
+    )
+    comments = t.orders.select(entered.alias("name"), F.col("o_orderpriority").alias("comment"), F.col("o_orderkey").alias("entry"))
+    racers = t.customer.select(F.col("c_custkey").alias("racer_no"), F.concat(F.lit("ガ"), "c_name").alias("racer_name"))
+    return joins.comments_by_name(racers, comments, "entry")
+
+
 @query(
     "priority_coalesce",
     """SELECT race_key, arg_min(v, p) FILTER (WHERE v IS NOT NULL) AS racer_class, min(p) FILTER (WHERE v IS NOT NULL) AS priority FROM (

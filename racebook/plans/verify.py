@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from racebook import constants as K
-from racebook.operators import features, joins, verify
+from racebook.operators import documents, features, joins, verify
 from racebook.plans.odds import SERIES_SQL, TARGETS_SQL
 from racebook.plans.race import FEATURE_SQL, card, p_sql
 from racebook.plans.registry import R6, query, r6, rounded
@@ -258,6 +258,27 @@ def json_two_formats(t):
     return rows.select("race_key", "x.lane", r6(F.col("x.p_first")).alias("p_first"))
 
 
+@query(
+    "documents_as_variant",
+    f"""WITH d AS (SELECT w.race_key, w.lane, w.p_first FROM {{win_probs}} w JOIN {{top_lanes}} t ON t.race_key = w.race_key WHERE t.l3 IS NOT NULL),
+s AS (SELECT race_key, count(*) AS n_tickets, sum(stake) AS stake FROM {{tickets}} GROUP BY race_key)
+SELECT d.race_key, d.lane, CASE WHEN d.race_key % 7 = 4 AND d.lane = 2 THEN NULL ELSE {R6('d.p_first')} END AS p_first,
+  CASE WHEN d.race_key % 7 = 4 AND d.lane = 2 THEN 'NaN, "Infinity": [NaN]' ELSE '' END AS note,
+  CASE WHEN d.race_key % 7 > 2 THEN s.n_tickets WHEN d.race_key % 7 = 1 THEN 0 END AS n_tickets,
+  CASE WHEN d.race_key % 7 > 2 THEN s.stake WHEN d.race_key % 7 = 1 THEN 0 END AS stake
+FROM d LEFT JOIN s ON s.race_key = d.race_key WHERE d.race_key % 7 <> 0""",
+)
+def documents_as_variant(t):
+    """Whole, old and cut-off documents, and some with a number that is none beside a text that looks like it."""
+    odd = F.regexp_replace("payload_json", r'("lane":2,)[^}]*\}', r'$1"p_first":NaN,"reason":"NaN, \\"Infinity\\": [NaN]"}')
+    docs = mixed_documents(t).withColumn("payload_json", F.when(F.col("race_key") % 7 == 4, odd).otherwise(F.col("payload_json")))
+    read = documents.read_documents(docs).select("race_key", F.explode("payload.final").alias("x"), "payload.tickets")
+    note = F.when(F.col("x.reason").contains("NaN"), F.col("x.reason")).otherwise("")
+    stake = F.aggregate("tickets", F.lit(0).cast("long"), lambda acc, x: acc + x.stake.cast("long"))
+    n = F.when(F.col("tickets").isNotNull(), F.size("tickets")).alias("n_tickets")
+    return read.select("race_key", "x.lane", r6(F.col("x.p_first")).alias("p_first"), note.alias("note"), n, stake.alias("stake"))
+
+
 @query(
     "scalar_json",
     f"""SELECT t.race_key, t.combo, t.ticket_group, {R6('t.prob')} AS prob, t.odds, t.stake, t.race_key % 7 = 0 AS broken
