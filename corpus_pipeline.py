@@ -70,8 +70,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Stages learn models and packing optimises, so there is no SQL. Tests run the stages one by one and check ids,
-#: copies and token counts; none holds run() against a brute-force version yet.
+#: Stages learn models and packing optimises, so there is no SQL. A test holds run() against a plain version: near
+#: copies by counts of shared shingles, passages by a byte scan, pieces by the tokenizer's ids.
 ORACLE_SQL = None
 
 
