@@ -80,8 +80,12 @@ def fill_defaults(dim: DataFrame, facts: DataFrame, key: str, defaults: dict) ->
 
 
 def comments_by_name(racers: DataFrame, comments: DataFrame, order: str) -> DataFrame:
-    """Racers with the first comment entered under their name, white space and forms of signs aside."""
-    first = comments.groupBy(name_key(F.col("name")).alias("_name")).agg(F.min_by("comment", order).alias("comment"))
+    """Racers with the first comment entered under their name, white space and forms of signs aside.
+
+    Comments first shrink to one per spelling, so the folding reads each spelling once and not every entry.
+    """
+    spelled = comments.groupBy("name").agg(F.min_by("comment", order).alias("comment"), F.min(order).alias("_order"))
+    first = spelled.groupBy(name_key(F.col("name")).alias("_name")).agg(F.min_by("comment", "_order").alias("comment"))
     keyed = racers.withColumn("_name", name_key(F.col("racer_name")))
     return keyed.join(first, "_name", "left").drop("_name")
 

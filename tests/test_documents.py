@@ -48,3 +48,13 @@ def test_names_meet_in_every_form(spark):
     assert got == {1: "parts", 2: None, 3: "accent"}
     keys = racers.select(joins.name_key(F.col("racer_name")).alias("k")).collect()
     assert [r.k for r in keys] == ["ガA1", None, "é"]
+
+
+def test_each_spelling_is_folded_once_and_the_first_entry_counts(spark):
+    racers = spark.createDataFrame([(1, "ガA"), (2, "none")], "racer_no INT, racer_name STRING")
+    rows = [("ｶﾞ A", "late", 9), ("ガA", "mid", 5), ("ガ　A", "first", 2), ("ガ　A", "later", 7), ("ガA", "no order", None)]
+    out = joins.comments_by_name(racers, spark.createDataFrame(rows, "name STRING, comment STRING, entry INT"), "entry")
+    assert {r.racer_no: r.comment for r in out.collect()} == {1: "first", 2: None}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    folding = plan.split("Join")[1].split("EvalPython")
+    assert any("Aggregate [name" in below for below in folding[1:])
