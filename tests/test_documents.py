@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from racebook.operators import documents, joins
+from racebook.sources.adapters import Source
 
 LANE = '{"lane":1,"racer_name":"A","p_first":0.5,"reason":"x"}'
 
@@ -58,3 +59,15 @@ def test_each_spelling_is_folded_once_and_the_first_entry_counts(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     folding = plan.split("Join")[1].split("EvalPython")
     assert any("Aggregate [name" in below for below in folding[1:])
+
+
+def test_no_projection_is_left_to_the_interpreter(spark):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    try:
+        for given, kept in [("65535", "8000"), ("20000", "20000")]:
+            spark.conf.set(limit, given)
+            Source(spark, "/root/testdata/sf0.001")
+            assert spark.conf.get(limit) == kept
+    finally:
+        spark.conf.set(limit, before)
