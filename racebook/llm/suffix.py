@@ -417,7 +417,7 @@ def merged_cover(keys: np.ndarray, rank: np.ndarray, parts: list[bytes]) -> list
     hit = np.flatnonzero(covered)
     a, b = stretches(hit, owner[hit])
     own = owner[a]
-    return list(zip(by_rank[own].tolist(), (place[a] - begins[own]).tolist(), (place[b] - begins[own]).tolist(), strict=True))
+    return sorted(zip(by_rank[own].tolist(), (place[a] - begins[own]).tolist(), (place[b] - begins[own]).tolist(), strict=True))
 
 
 def cross_regions(regions: DataFrame) -> DataFrame:
