@@ -29,6 +29,12 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.str.normalize("NFKC")
 
 
+def once(value: Column) -> Column:
+    """``value``, computed once a row. Later filters would otherwise repeat a long expression, with all that it is made
+    of, below the place where it is computed; they do not pass a generator."""
+    return F.explode(F.array(value))
+
+
 def unescape(text: Column) -> Column:
     """Basic HTML entities; the ampersand last, so that nothing is unescaped twice."""
     for name, sign in [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, MapType, StructType
 
+from racebook.functions.scalars import once
 from racebook.schemas import PAYLOAD
 
 #: A stretch of strings and other signs, then a number that JSON does not know. Strings are passed over whole.
@@ -28,15 +29,18 @@ def opened(text: Column) -> Column:
     return F.try_parse_json(clean)
 
 
-def _value(item: Column, field) -> Column:
-    got = F.try_variant_get(item, f"$.{field.name}", field.dataType.simpleString())
+def _finite(item: Column, field) -> Column:
+    got = item.getField(field.name)
     if isinstance(field.dataType, DoubleType):  # a text may say "NaN" as well
         got = F.when(~F.isnan(got) & (F.abs(got) != float("inf")), got)
     return got.alias(field.name)
 
 
 def _rows(items: Column, kind: ArrayType) -> Column:
-    return F.transform(items, lambda x: F.struct(*[_value(x, f) for f in kind.elementType.fields]))
+    """Rows of the named fields: each is taken from its item once, then looked at."""
+    fields = kind.elementType.fields
+    taken = lambda x: F.struct(*[F.try_variant_get(x, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields])
+    return F.transform(F.transform(items, taken), lambda x: F.struct(*[_finite(x, f) for f in fields]))
 
 
 def lanes(doc: Column) -> Column:
@@ -62,4 +66,5 @@ def read_documents(df: DataFrame, text: str = "payload_json") -> DataFrame:
     """``df`` with ``payload``: the lists of a document, null where the text is no document."""
     doc = F.col("_doc")
     parts = F.struct(lanes(doc).alias("final"), tickets(doc).alias("tickets"), research(doc).alias("research"))
-    return df.withColumn("_doc", opened(F.col(text))).withColumn("payload", F.when(doc.isNotNull(), parts)).drop("_doc")
+    read = df.withColumn("_doc", once(opened(F.col(text)))).withColumn("payload", once(F.when(doc.isNotNull(), parts)))
+    return read.drop("_doc")

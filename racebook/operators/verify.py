@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from racebook import constants as K
+from racebook.functions.scalars import once
 from racebook.operators import documents
 from racebook.schemas import PAYLOAD
 
@@ -45,11 +46,11 @@ def payloads(final: DataFrame, tickets: DataFrame, research: DataFrame | None =
             F.map_from_entries(F.collect_list(F.struct("variant", "rows"))).alias("research")
         )
         out, parts = out.join(maps, "race_key"), parts + ["research"]
-    return out.select("race_key", F.to_json(F.struct(*parts)).alias("payload_json"))
+    return out.select("race_key", once(F.to_json(F.struct(*parts))).alias("payload_json"))
 
 
 def parse_payload(df: DataFrame) -> DataFrame:
-    return df.withColumn("payload", F.from_json("payload_json", PAYLOAD))
+    return df.withColumn("payload", once(F.from_json("payload_json", PAYLOAD)))
 
 
 def usable(payload: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from racebook.operators import documents, joins
+from racebook.plans.catalog import QUERIES
 from racebook.sources.adapters import Source
 
 LANE = '{"lane":1,"racer_name":"A","p_first":0.5,"reason":"x"}'
@@ -71,3 +72,13 @@ def test_no_projection_is_left_to_the_interpreter(spark):
             assert spark.conf.get(limit) == kept
     finally:
         spark.conf.set(limit, before)
+
+
+def test_a_document_is_parsed_and_written_once_a_row(spark):
+    count = lambda name: (lambda p: [p.count(f"{x}(") for x in ("get_json_object", "regexp_replace", "from_json")])(
+        QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    )
+    # lanes alone stand in two of the forms; one text is made odd, one is cleared of numbers that are none
+    assert count("documents_as_variant") == [2, 2, 0]
+    assert count("verification_without_tickets") == [2, 0, 1]
+    assert count("ablation_report") == [0, 0, 1]
