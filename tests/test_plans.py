@@ -63,3 +63,12 @@ def test_only_needed_columns_are_read(spark):
 def test_odds_filter_is_pushed_down(spark):
     text = plan(QUERIES["odds_5min_bars"](spark, SF))
     assert "GreaterThanOrEqual(value,1.0)" in text
+
+
+@pytest.mark.parametrize("name", ["odds_left_join", "exclude_used_anti"])
+def test_ticket_windows_run_over_finer_partitions(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    finer = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning(race_key" in line and "combo" not in line]
+    assert exchanges
+    assert all(f", {finer})" in line and "REPARTITION_BY_NUM" in line for line in exchanges)
