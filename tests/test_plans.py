@@ -72,3 +72,10 @@ def test_ticket_windows_run_over_finer_partitions(spark, name):
     exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning(race_key" in line and "combo" not in line]
     assert exchanges
     assert all(f", {finer})" in line and "REPARTITION_BY_NUM" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("name,most", [("tickets_ranked", 10), ("stakes_smart", 15), ("stakes_largest_remainder", 13)])
+def test_sums_share_the_window_step_of_an_ordering(spark, name, most):
+    """Each step generates classes, and a stage with more of them than Spark's cache holds compiles them in every task."""
+    lines = [line.lstrip(" +-:") for line in plan(QUERIES[name](spark, SF)).splitlines()]
+    assert 0 < sum(line.startswith("Window") for line in lines) <= most
