@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ from racebook.llm.tokens import MEMO_WORDS, collector_off, encoder_of
 SIZE = 4096
 #: Price in tokens of a cut inside a document after a sentence, inside a sentence, and of one more sequence.
 SENTENCE, INSIDE, OVERHEAD = 4, 64, 24
+#: Bytes of text that are encoded together: words that repeat in them are looked up once.
+BLOCK_BYTES = 8 << 20
 
 PIECE = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -55,30 +58,38 @@ def cut_points(doc_ends: np.ndarray, sentence_ends: np.ndarray, size: int = SIZE
 def choose_cuts(at: np.ndarray, price: np.ndarray, size: int = SIZE) -> np.ndarray:
     """Places of the cuts of least cost, from 0 to the end of the stream."""
     powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
-    jumps: dict[int, list[int]] = {}
+    jump_ends, jump_begins = [], []
     for p in powers:
         begin = np.searchsorted(at, at - p)
         ends = np.flatnonzero(at[begin] == at - p)
-        for i, b in zip(ends.tolist(), begin[ends].tolist(), strict=True):
-            jumps.setdefault(i, []).append(b)
-    places, prices = at.tolist(), price.tolist()
+        jump_ends.append(ends)
+        jump_begins.append(begin[ends])
+    order = np.argsort(np.concatenate(jump_ends), kind="stable")  # by end, of one end the shortest first
+    jumps = iter(np.concatenate(jump_begins)[order].tolist())
+    count = np.bincount(np.concatenate(jump_ends), minlength=len(at)).tolist()
+    places, prices = at.tolist(), (price + OVERHEAD).tolist()
     cost, back = [0] * len(places), [0] * len(places)
     queue = deque([0])  # begins by falling worth; cost + place is the worth of a begin
     worth = [0] * len(places)
+    first = size  # the last place that the first begin of the queue reaches
     for i in range(1, len(places)):
         place = places[i]
-        while places[queue[0]] < place - size:
+        while first < place:
             queue.popleft()
+            first = places[queue[0]] + size
         best = queue[0]
         least = worth[best] + size - place
-        for b in jumps.get(i, ()):
-            if cost[b] < least:
-                best, least = b, cost[b]
-        cost[i] = least = least + prices[i] + OVERHEAD
+        if count[i]:
+            for b in islice(jumps, count[i]):
+                if cost[b] < least:
+                    best, least = b, cost[b]
+        cost[i] = least = least + prices[i]
         back[i] = best
         worth[i] = least = least + place
         while queue and worth[queue[-1]] >= least:
             queue.pop()
+        if not queue:
+            first = place + size
         queue.append(i)
     cuts, i = [places[-1]], len(places) - 1
     while i:
@@ -112,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = SIZE, id_col:
         keys: list[int | None] = []
         found: list[bytes] = []
         with collector_off():
-            for block in in_blocks(rows(batches), 1):
+            for block in in_blocks(rows(batches), 1, BLOCK_BYTES):
                 keys += [k for k, _ in block]
                 found += [raw + end for raw in encoder.encode([t for _, t in block])]
         if not keys:

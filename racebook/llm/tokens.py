@@ -18,6 +18,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from racebook.llm.common import give_back
 
@@ -32,6 +34,14 @@ GROUP = 100
 LETTERS_THEN_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def in_bytes(strings: pa.LargeStringArray) -> list[bytes]:
+    """Strings without nulls as bytes; slices of their buffer cost less than a Python object for each through Arrow."""
+    _, offsets, data = strings.buffers()
+    edges = np.frombuffer(offsets, "i8")[strings.offset : strings.offset + len(strings) + 1].tolist()
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+
+
 @functools.cache
 def encoder_of(path: str, memo_words: int = MEMO_WORDS, added_tokens: bool = False) -> WordEncoder:
     """One encoder a worker, which lives on from task to task."""
@@ -71,14 +81,14 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
         self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.stops = np.array(sorted(i for t, i in vocab.items() if t.endswith("</w>") and t[:-4] and set(t[:-4]) <= set(".!?")), "<u4")
         self.memo_words = memo_words
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
     def sentence_ends(self) -> np.ndarray:
         """Ids after which a sentence may end."""
-        vocab = self.tokenizer.get_vocab()
-        return np.array(sorted(i for t, i in vocab.items() if t.endswith("</w>") and t[:-4] and set(t[:-4]) <= set(".!?")), "<u4")
+        return self.stops
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,15 +107,14 @@ class WordEncoder:
             else:
                 yield from (x.tobytes() for x in self._ids([w.decode() for w in group]))
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of new words; signs that follow the letters of a word are a piece of their own."""
         memo, older = self.memo, self.older
-        out: dict[bytes, bytes] = {}
+        seen = list(map(older.get, words))
+        out = {w: x for w, x in zip(words, seen, strict=True) if x is not None}
         small, whole, stems, signs, other = [], [], [], [], []
-        for w in words:
-            if (seen := older.get(w)) is not None:
-                out[w] = seen
-            elif w.isalpha():  # of bytes: ASCII letters
+        for w in words if not out else [w for w, x in zip(words, seen, strict=True) if x is None]:
+            if w.isalpha():  # of bytes: ASCII letters
                 if w.islower():  # nothing else can have taught its ids
                     small.append(w)
                 else:
@@ -148,10 +157,23 @@ class WordEncoder:
     def _by_word(self, texts: list[bytes | None]) -> list[bytes]:
         if len(self.memo) > self.memo_words // 2:
             self.memo, self.older = {}, self.memo
-        split = [(t or b"").split() for t in texts]
-        known = [list(map(self.memo.get, words)) for words in split]
-        new = {w for words, ids in zip(split, known, strict=True) for w, x in zip(words, ids, strict=True) if x is None}
+        # equal words of the texts meet in a dictionary; a blank at the begin or end of a text leaves an empty word
+        split = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.large_binary()).view(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = in_bytes(coded.dictionary)
+        self.memo[b""] = b""
+        known = list(map(self.memo.get, words))
+        new = [w for w, ids in zip(words, known, strict=True) if ids is None]
         if new:
-            new = self._learn(new)
-            known = [[new[w] if x is None else x for w, x in zip(words, ids, strict=True)] for words, ids in zip(split, known, strict=True)]
-        return [b"".join(ids) for ids in known]
+            learned = self._learn(new)
+            known = [learned[w] if ids is None else ids for w, ids in zip(words, known, strict=True)]
+        length = np.fromiter(map(len, known), "i8", len(known)) // 4
+        begin = np.cumsum(length) - length
+        word = coded.indices.to_numpy()
+        n = length[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin[word] - ends[:-1], n)
+        at += np.arange(len(at))
+        raw = np.frombuffer(b"".join(known), "<u4")[at].tobytes()
+        edges = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from racebook.llm import binary, bpe, chat, jaccard, langid, packing, quality, suffix, topk, warc
+from racebook.llm import binary, bpe, chat, jaccard, langid, packing, quality, suffix, tokens, topk, warc
 from racebook.llm.common import ship
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -94,6 +94,23 @@ def test_pieces_cover_every_document_once(docs, empty):
     assert b"".join(x for _, x in own) == np.array(reference_ids(single.text) + [2], "<u4").tobytes()
 
 
+def test_words_of_a_block_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    encoder = tokens.WordEncoder(WORDS)
+    texts = [b"the sea, the Sea and\x0bthe\x1csea" * 1000, None, b"", b" \t\n", b"  sea\xc2\xa0the \xc2\x85 sea\r\n", b"the"]
+    want = [b"".join(encoder._ids([w.decode() for w in (t or b"").split()])[k].tobytes() for k in range(len((t or b"").split()))) if t and t.strip() else b"" for t in texts]
+    encoder.memo = Counted()
+    assert encoder.encode(texts) == want
+    assert Counted.asked < 60  # 6,008 words, few of them different
+    assert encoder.encode([None]) == [b""] and encoder.encode([]) == []
+
+
 def test_strings_of_added_tokens(spark):
     import corpus_pipeline
     from racebook.llm import plans
