@@ -3,6 +3,7 @@
 import pytest
 
 from racebook.plans.catalog import QUERIES
+from racebook.sources.adapters import Source
 
 SF = "/root/testdata/sf0.001"
 # these run a job while the query is built
@@ -79,3 +80,11 @@ def test_sums_share_the_window_step_of_an_ordering(spark, name, most):
     """Each step generates classes, and a stage with more of them than Spark's cache holds compiles them in every task."""
     lines = [line.lstrip(" +-:") for line in plan(QUERIES[name](spark, SF)).splitlines()]
     assert 0 < sum(line.startswith("Window") for line in lines) <= most
+
+
+def test_tasks_of_outcomes_grow_with_the_races(spark, monkeypatch):
+    """A fixed number of tasks would each sort more and more outcomes and spill them."""
+    monkeypatch.setattr("racebook.operators.trifecta.TASK_RACES", 10)
+    tasks = -(-(Source(spark, SF).lineitem.count() // 3) // 10)
+    assert tasks > 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert f", {tasks}), REPARTITION_BY_NUM" in plan(QUERIES["tickets_cover"](spark, SF))
