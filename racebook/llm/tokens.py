@@ -1,7 +1,8 @@
 """Token ids of a public word tokenizer, at the speed of a dictionary.
 
 The tokenizer drops white space and never joins characters across it, so the ids of a text are the
-ids of its words in a row. Each worker keeps the ids of the words it has met, up to a bound; the
+ids of its words in a row. It parts letters, digits and signs too and takes small letters for capitals, so that is
+done first and the forms of a word meet. Each worker keeps the ids of the words it has met, up to a bound; the
 ``tokenizers`` library encodes the words that are new, many at a time.
 
 Strings of the vocabulary's added tokens (``<|endoftext|>``) in a text are ordinary text, or, with
@@ -27,11 +28,52 @@ from racebook.llm.common import give_back
 MEMO_WORDS = 1_000_000
 #: Longer words are encoded each time they come.
 MEMO_LENGTH = 64
-STOPS = b".,"
 #: Words in one call of the library.
 GROUP = 100
-#: Composed Latin letters, whose small forms are one letter too, then signs that no letter or digit follows.
-LETTERS_THEN_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII and composed Latin letters, whose small forms are one letter too.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Kinds of bytes; all others, ``|`` among them, which the strings of added tokens hold, are of kind 0.
+LETTER, SIGN, APOSTROPHE, DIGIT = 1, 2, 3, 4
+
+
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Small forms of ASCII bytes, kinds of bytes, and by ``8 * kind + next kind`` whether the library parts the two bytes."""
+    every = [bytes([i]) for i in range(256)]
+    kind = np.zeros(256, "u1")
+    kind[[i for i, c in enumerate(every) if c.isalpha()]] = LETTER
+    kind[[i for i, c in enumerate(every) if 32 < i < 127 and not c.isalnum() and c != b"|"]] = SIGN
+    kind[ord("'")] = APOSTROPHE
+    kind[[i for i, c in enumerate(every) if c.isdigit()]] = DIGIT
+    apart = np.zeros(64, bool)
+    for x, others in ((LETTER, (SIGN, APOSTROPHE, DIGIT)), (SIGN, (LETTER, DIGIT)), (DIGIT, (LETTER, SIGN, APOSTROPHE))):
+        apart[[8 * x + y for y in others]] = True  # letters after an apostrophe may be one piece with it
+    return np.frombuffer(b"".join(c.lower() for c in every), "u1"), kind, apart
+
+
+SMALL, KIND, APART = tables()
+
+
+def parted(texts: list[bytes]) -> pa.LargeStringArray:
+    """The texts with a blank at their end and where letters, digits and signs meet, capitals of ASCII and composed Latin
+    letters as small ones. Their ids are the same, but their words repeat far more often.
+
+    A capital that a mark may follow stays: the two could be one character, whose small form need not be that of its parts.
+    """
+    joined = np.frombuffer(b" ".join([*texts, b""]) + b" ", "u1")
+    data = joined[:-1]
+    plain = joined[1:] < 0xC4  # lead bytes of marks are higher
+    raw = np.where(plain, SMALL[data], data)
+    kind = KIND[data]
+    lead = np.flatnonzero(data == 0xC3)
+    second = joined[lead + 1]
+    lead = lead[(second >= 0x80) & (second < 0xC0) & (second != 0x97) & (second != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    capital = lead[(joined[lead + 1] < 0x9F) & plain[lead + 1]] + 1
+    raw[capital] += 0x20
+    at = np.flatnonzero(APART[8 * kind[:-1] + kind[1:]]) + 1
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), "i8", len(texts)))
+    offsets = np.concatenate([[0], ends + np.searchsorted(at, ends)])
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype("i8")), pa.py_buffer(np.insert(raw, at, 32)))
 
 
 def in_bytes(strings: pa.LargeStringArray) -> list[bytes]:
@@ -108,42 +150,18 @@ class WordEncoder:
                 yield from (x.tobytes() for x in self._ids([w.decode() for w in group]))
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words; signs that follow the letters of a word are a piece of their own."""
-        memo, older = self.memo, self.older
-        seen = list(map(older.get, words))
-        out = {w: x for w, x in zip(words, seen, strict=True) if x is not None}
-        small, whole, stems, signs, other = [], [], [], [], []
-        for w in words if not out else [w for w, x in zip(words, seen, strict=True) if x is None]:
-            if w.isalpha():  # of bytes: ASCII letters
-                if w.islower():  # nothing else can have taught its ids
-                    small.append(w)
-                else:
-                    whole.append(w)
-                    stems.append(w.lower())
-                    signs.append(b"")
-            elif w[-1] in STOPS and w[:-1].isalpha():
-                whole.append(w)
-                stems.append(w[:-1].lower())
-                signs.append(w[-1:])
-            elif m := LETTERS_THEN_SIGNS.fullmatch(w.decode("utf-8", "replace")):
-                whole.append(w)
-                stems.append(m[1].lower().encode())
-                signs.append(m[2].encode())
-            else:
-                other.append(w)
-        ids = dict(zip(small, self._one_piece(small), strict=True))
-        fresh = set(stems).difference(ids)
-        ids.update((p, memo.get(p) or older.get(p)) for p in fresh)
-        new = [p for p in fresh if ids[p] is None]
-        ids.update(zip(new, self._one_piece(new), strict=True))
-        few = list(set(signs) - {b""}) + other
-        known = {b"": b""} | dict(zip(few, (x.tobytes() for x in self._ids([w.decode("utf-8", "replace") for w in few])), strict=True))
-        out.update((w, known[w]) for w in other)
-        out.update(zip(whole, [ids[p] + known[s] for p, s in zip(stems, signs, strict=True)], strict=True))
-        ids.update(out)
-        memo.update(ids)
+        """Ids of new words."""
+        seen = list(map(self.older.get, words))
+        ids = {w: x for w, x in zip(words, seen, strict=True) if x is not None}
+        new = [w for w, x in zip(words, seen, strict=True) if x is None] if ids else words
+        letters = [w for w in new if w.isalpha() or LETTERS.fullmatch(w)]
+        ids.update(zip(letters, self._one_piece(letters), strict=True))
+        if len(letters) < len(new):
+            other = [w for w in new if w not in ids]
+            ids.update(zip(other, (x.tobytes() for x in self._ids([w.decode("utf-8", "replace") for w in other])), strict=True))
+        self.memo.update(ids)
         for w in [w for w in ids if len(w) > MEMO_LENGTH]:
-            del memo[w]
+            del self.memo[w]
         return ids
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
@@ -158,7 +176,7 @@ class WordEncoder:
         if len(self.memo) > self.memo_words // 2:
             self.memo, self.older = {}, self.memo
         # equal words of the texts meet in a dictionary; a blank at the begin or end of a text leaves an empty word
-        split = pc.ascii_split_whitespace(pa.array([t or b"" for t in texts], pa.large_binary()).view(pa.large_string()))
+        split = pc.ascii_split_whitespace(parted([t or b"" for t in texts]))
         coded = split.flatten().dictionary_encode()
         words = in_bytes(coded.dictionary)
         self.memo[b""] = b""

@@ -111,6 +111,20 @@ def test_words_of_a_block_are_looked_up_once():
     assert encoder.encode([None]) == [b""] and encoder.encode([]) == []
 
 
+def test_forms_of_a_word_are_learned_once():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    encoder = tokens.WordEncoder(WORDS)
+    texts = ["Sea (sea) SEA, sea; Öl öl. \"ÖL\" sea2 2sea sea-öl", "We're we'Re 'tis 's'S 5's x.'s a|b", "Ÿ ÷ × J\u030c j\u030c T\u05b0\u0308. \u212a. İ \x00a½b"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode([t.encode() for t in texts[:1]]) == want[:1]
+    assert set(encoder.memo) == {x.encode() for x in ("", "sea", "öl", "2", "(", ")", '"', ",", ";", ".", "-")}
+    assert encoder.encode([t.encode() for t in texts]) == want
+    broken = [b"\xc3", b"\x84.", b"\xe2\xc3\x84.J\xcc", b"\xf0\x9f1\xc3'S"]
+    assert encoder.encode(broken) == [np.array(library.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes() for t in broken]
+
+
 def test_strings_of_added_tokens(spark):
     import corpus_pipeline
     from racebook.llm import plans
