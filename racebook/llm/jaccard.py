@@ -15,11 +15,15 @@ Two documents link when the sizes of the intersection and the union of their shi
 * A key of few documents gives its pairs, a key of many a star around its smallest document; components of these
   candidates are clusters. Texts of clusters are read again and every cluster is verified on whole sets,
   in tiles of bounded size, inside tasks. Tiles emit no pairs, only a spanning forest of the links found.
-* Blocks of a large cluster are first verified each for itself, with pivots that all of them share; only what that
-  leaves outside the largest component meets the whole cluster.
+* A line that many texts hold makes one large cluster of texts that are not linked. So documents of clusters larger
+  than a tile are indexed once more, now with whole sets in the order of frequencies inside their cluster, where such
+  a line comes last; the candidates of that index part the cluster.
+* Blocks of a cluster that is still large are first verified each for itself, with pivots that all of them share; only
+  what that leaves outside the largest component meets the whole cluster.
 
 So work grows with the sizes of groups of near copies, not with their squares, and no candidate is capped. A cluster
-of candidates that are mostly not linked still costs the product of its size and of what stays apart.
+of texts that share most of their rarest shingles and are yet not linked costs the product of its size and of what
+stays apart.
 
 Null texts and texts without words have an empty set and link with nothing. A text with fewer words than a
 shingle has its whole sequence as its one shingle. Repeated rows and repeated ids with equal sets fall into one
@@ -52,6 +56,8 @@ TILE, PAIRS, TERMS = 1 << 18, 1 << 22, 4096
 SHARE = 8
 #: Hashes of words that a worker remembers.
 MEMO = 300_000
+#: Bits of the map that keeps texts out of a shuffle whose id is in no cluster: 1 MB.
+BITS = 1 << 23
 
 
 class Shingler:
@@ -125,24 +131,36 @@ def shingle_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(make, "doc_id long, n long, c1 long, c2 long, low array<long>")
 
 
-def keys_of(low: np.ndarray, n: int, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Single keys (rare shingles of the extended prefix) and combined keys of one set."""
-    edge = int(np.searchsorted(low, LOW))
-    known = np.searchsorted(frequent, low[:edge])
-    often = np.zeros(edge, bool)
+def keys_of(low: np.ndarray, edge: int, n: int, frequent: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Single keys (rare shingles of the extended prefix) and combined keys of one set, whose first ``edge`` shingles
+    were counted. ``frequent``: sorted; ``level``: their classes of frequency, in which they are ordered."""
+    counted = low[:edge]
+    often, known = np.zeros(edge, bool), np.zeros(edge, "i8")
     if len(frequent):
-        often = frequent[np.minimum(known, len(frequent) - 1)] == low[:edge]
-    rare = low[:edge][~often]
+        known = np.minimum(np.searchsorted(frequent, counted), len(frequent) - 1)
+        often = frequent[known] == counted
+    rare = counted[~often]
     prefix = min(n, missing(n, percent) + K)
     if len(rare) >= prefix and n - missing(n, percent) >= K:
         return rare[:prefix], np.zeros(0, "i8")
-    ordered = np.concatenate([rare, low[:edge][often], low[edge:]])[: reach(n, percent)]
+    if n == 1:  # no neighbours: equal ones meet by their shingle
+        return rare, low
+    hot = counted[often][np.argsort(level[known[often]], kind="stable")]
+    ordered = np.concatenate([rare, hot, low[edge:]])[: reach(n, percent)]
     both = (ordered[:-1] * np.int64(0x5851F42D4C957F2D) + ordered[1:]) * np.int64(0x369DEA0F31A53F85)
     return rare, both ^ (both >> 31)
 
 
-def index_rows(classes: DataFrame, frequent: np.ndarray, percent: int) -> DataFrame:
-    """key, combined, doc_id, n of every class that may link with another one."""
+def listed(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of token, count, sorted, and their classes of frequency."""
+    level = F.ceil(F.log2("count")).cast("byte").alias("level")
+    found = counted.where(F.col("count") > few_limit(counted)).select("token", level).toPandas().sort_values("token")
+    return found["token"].to_numpy("i8"), found["level"].to_numpy("i1")
+
+
+def index_rows(classes: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int, whole: bool = False) -> DataFrame:
+    """key, combined, doc_id, n of every class that may link with another one. ``whole``: all its shingles were
+    counted, not those of the lowest quarter alone."""
     shared = classes.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +169,8 @@ def index_rows(classes: DataFrame, frequent: np.ndarray, percent: int) -> DataFr
                 part = batch.slice(at, 512)
                 ids, ns = part.column(0).to_numpy(), part.column(1).to_numpy()
                 lows = [x.values.to_numpy() for x in part.column(2)]
-                found = [keys_of(low, n, shared.value, percent) for low, n in zip(lows, ns.tolist(), strict=True)]
+                edges = [len(low) if whole else int(np.searchsorted(low, LOW)) for low in lows]
+                found = [keys_of(low, edge, n, *shared.value, percent) for low, edge, n in zip(lows, edges, ns.tolist(), strict=True)]
                 for kind in (0, 1):
                     sizes = [len(f[kind]) for f in found]
                     if sum(sizes):
@@ -267,10 +286,20 @@ def few_limit(counted: DataFrame) -> int:
     return 1 << power
 
 
+def texts_of(docs: DataFrame, few: DataFrame) -> DataFrame:
+    """Rows of ``docs`` joined to ``few`` by doc_id. A map of bits first keeps nearly all other texts out of the shuffle;
+    with many more ids than BITS it lets them pass, at no other cost."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS))
+    word, bit = F.floor(place / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {BITS}) % 64 AS INT))").alias("bit")
+    taken = few.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    near = docs.select("*", word, bit).join(F.broadcast(taken), "word").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return near.select(docs.columns).join(few, "doc_id")
+
+
 def tiled_links(docs: DataFrame, dealt: DataFrame, words: int, percent: int, diagonal: bool) -> DataFrame:
     """a, b: a spanning forest of the true links in every tile. ``dealt``: doc_id, cluster, block, first, last; a row
     goes to the tiles of its block with the blocks first to last, or, if ``diagonal``, to these blocks alone."""
-    texts = docs.join(dealt, "doc_id")
+    texts = texts_of(docs, dealt)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -300,6 +329,39 @@ def tiled_links(docs: DataFrame, dealt: DataFrame, words: int, percent: int, dia
     return tiles.groupBy("cluster", "i", "j").applyInArrow(tile, "a long, b long")
 
 
+def parted(docs: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """``clusters`` (doc_id, cluster, n) with those larger than a tile parted by candidates among their own documents.
+
+    The shingles are mixed with the cluster, so frequencies are those inside it. All shingles are counted and ordered,
+    so an index key is as rare as the set allows. Linked documents stay together.
+    """
+    larger = clusters.groupBy("cluster").agg(F.sum("n").alias("size")).where(F.col("size") > TILE).select("cluster")
+    own = stored(clusters.join(larger, "cluster", "left_semi").select("doc_id", "cluster", "n"), "larger-clusters")
+    if own.isEmpty():
+        drop_stored(own)
+        return clusters
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for block in in_blocks(rows(batches), 1):
+            salt = np.array([r[2] for r in block], "i8") * np.int64(0x2545F4914F6CDD1D)
+            found = [np.sort(s ^ x) for s, x in zip(shingler.sets([r[1] for r in block]), salt, strict=True)]
+            ends = np.cumsum([0, *map(len, found)]).astype("i4")
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in block], pa.int64()), pa.array(np.diff(ends).astype("i8")), lists], names=["doc_id", "n", "low"])
+
+    texts = texts_of(docs, own.select("doc_id", "cluster").distinct())
+    whole = stored(texts.select("doc_id", "text", "cluster").mapInArrow(sets, "doc_id long, n long, low array<long>").where("n > 0"), "local-sets")
+    counted = stored(whole.select(F.explode("low").alias("token")).groupBy("token").count().where("count > 1"), "local-frequencies")
+    found = stored(candidates(index_rows(whole, listed(counted), percent, whole=True), percent), "local-candidates")
+    drop_stored(whole, counted)
+    near = components(found)
+    again = own.select("doc_id", "n").join(near.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    out = stored(clusters.join(larger, "cluster", "left_anti").select("doc_id", "cluster", "n").union(again.select("doc_id", "cluster", "n")), "parted-clusters")
+    drop_stored(own, found, near)
+    return out
+
+
 def dealt_to(salt: str, blocks: Column) -> Column:
     """Block of a document, by a hash of its id."""
     return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), blocks).cast("int")
@@ -312,6 +374,7 @@ def verified(docs: DataFrame, clusters: DataFrame, words: int, percent: int) ->
     smallest id and, by hash, the SHARE-th part of a block. That joins a group of near copies at a cost in
     proportion to its size. What its largest component does not hold is then verified against the whole cluster.
     """
+    clusters = parted(docs, clusters, words, percent)
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("blocks"))
     own = clusters.join(sizes, "cluster").withColumn("block", dealt_to("block", F.col("blocks")))
     pivot = (F.col("doc_id") == F.col("cluster")) | (dealt_to("pivot", F.col("blocks") * SHARE) == 0)
@@ -352,8 +415,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     indexed = classes.where(F.col("n") >= max(2, least - 1))
     low = indexed.select(F.explode(F.filter("low", lambda x: x < LOW)).alias("token"))
     counted = stored(low.groupBy("token").count().where("count > 1"), "frequencies")
-    frequent = counted.where(F.col("count") > few_limit(counted)).select("token").toPandas()["token"].to_numpy("i8")
-    found = stored(candidates(index_rows(indexed, np.sort(frequent), percent), percent), "candidates")
+    found = stored(candidates(index_rows(indexed, listed(counted), percent), percent), "candidates")
     drop_stored(counted)
     cluster = components(found)
     sized = classes.select("doc_id", "n").join(cluster.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")

@@ -285,6 +285,32 @@ def test_small_sets_keep_their_links_where_all_shingles_are_low_and_rare(spark,
     assert got == want and len(set(want.values())) < len(want)
 
 
+def test_a_line_that_many_texts_hold_makes_no_product_of_their_cluster(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 2000)
+    rng, tiles, plain = random.Random(77), [], jaccard.tiled_links
+
+    def counting(docs, dealt, words, percent, diagonal):
+        tiles.append(dealt.agg(F.sum(F.col("last") - F.col("first") + 1)).first()[0] or 0)
+        return plain(docs, dealt, words, percent, diagonal)
+
+    monkeypatch.setattr(jaccard, "tiled_links", counting)
+    line = prose(rng, 60, 4000)
+    texts = [prose(rng, 30, 4000) + " " + line for _ in range(150)]
+    texts += [texts[7] + " more", texts[9] + " words", texts[9] + " words here"]
+    table = spark.createDataFrame([*enumerate(texts), (9, None), (7, "one")], "doc_id LONG, text STRING")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(table, 3, 90).where("n_shingles > 1").collect()}
+    assert got == {i: i for i in range(150)} | {150: 7, 151: 9, 152: 9}
+    assert sum(tiles) < 30  # the texts that have links; 153 texts in seven blocks, each against all, before
+
+
+def test_texts_of_takes_the_rows_of_the_ids_alone(spark):
+    table = spark.createDataFrame([(i % 50 - 20 or None, f"t{i}") for i in range(100)], "doc_id LONG, text STRING")
+    few = spark.createDataFrame([(-20, 1), (-20, 2), (0, 3), (7, 4), (99, 5)], "doc_id LONG, cluster LONG")
+    want = sorted((i % 50 - 20, f"t{i}", c) for i in range(100) for k, c in ((-20, 1), (-20, 2), (7, 4)) if i % 50 - 20 == k)
+    assert sorted(map(tuple, jaccard.texts_of(table, few).select("doc_id", "text", "cluster").collect())) == want
+    assert jaccard.texts_of(table, few.limit(0)).count() == 0
+
+
 def test_repeated_bytes_equal_a_plain_scan(docs, empty, monkeypatch):
     seen, want = set(), []
     rows = sorted((((r.doc_id is None, r.doc_id or 0), (r.text or "").encode()) for r in docs.collect()))
