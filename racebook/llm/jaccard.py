@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,8 @@ SHARE = 8
 MEMO = 300_000
 #: Bits of the map that keeps texts out of a shuffle whose id is in no cluster: 1 MB.
 BITS = 1 << 23
+#: Equal sets meet in so many turns, so that what is shuffled lies on disk for one of them at a time.
+PARTS = 4
 
 
 class Shingler:
@@ -408,7 +411,10 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
         raise ValueError("percent must lie between 67 and 100")
     few = id_and_text(docs, id_col, text_col)
     table = stored(shingle_table(few, words, percent), "shingles")
-    classes = stored(table.where("n > 0 and doc_id is not null").groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low")), "classes")
+    sets = table.where("n > 0 and doc_id is not null")
+    each = [sets.where(F.pmod("c1", F.lit(PARTS)) == i).groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("low").alias("low")) for i in range(PARTS)]
+    parts = [stored(x, "classes") for x in each]
+    classes = reduce(DataFrame.unionAll, parts)
     members = stored(table.select("doc_id", "n", "c1", "c2"), "members")
     drop_stored(table)
     least = 100 // (100 - percent) if percent < 100 else 1 << 62  # smaller sets link with equal ones only
@@ -422,6 +428,6 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     joined = verified(few.where("doc_id is not null"), sized, words, percent)
     named = classes.select("n", "c1", "c2", "doc_id").join(joined.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     named = stored(named.select("n", "c1", "c2", F.coalesce("component", "doc_id").alias("component_id")), "named-classes")
-    drop_stored(classes, found, cluster, joined)
+    drop_stored(*parts, found, cluster, joined)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     return members.join(named, ["n", "c1", "c2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component)

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from racebook.llm import binary, bpe, chat, jaccard, langid, packing, quality, suffix, tokens, topk, warc
-from racebook.llm.common import ship
+from racebook.llm.common import TIDY, drop_stored, ship, stored
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -555,3 +557,18 @@ def test_equal_strings_by_runs():
         suffix.BLOCK, before = block, suffix.BLOCK
         assert suffix.same_strings(data, left, right).tolist() == want and any(want)
         suffix.BLOCK = before
+
+
+def test_a_stored_table_leaves_no_shuffle_behind(spark):
+    folders = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before, set_to = held(), spark.conf.get(TIDY)
+    rows = spark.range(20_000).select((F.col("id") % 9973).alias("k"), F.xxhash64("id").alias("v"))
+    table = stored(rows.groupBy("k").agg(F.max("v").alias("most")).join(rows, "k").repartition(5, "v"), "tidy")
+    for _ in range(100):  # files go in the background
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and spark.conf.get(TIDY) == set_to
+    assert table.count() > 0
+    drop_stored(table)
